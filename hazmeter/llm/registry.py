@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .decontaminate import op3_decontaminate
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .language_id import op8_language_id
+from .packing import op9_packing
 from .simhash import op6_simhash
 
 QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
     "op6_simhash": op6_simhash,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_language_id": op8_language_id,
+    "op9_packing": op9_packing,
 }
 ORACLES = {
     "op7_exact_dedup": OP7_SQL,
