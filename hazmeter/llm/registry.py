@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .kd_shards import op5_kd_sharding
 from .language_id import op8_language_id
 from .packing import op9_packing
+from .secret_scan import op1_secret_scan
 from .simhash import op6_simhash
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op3_decontaminate": op3_decontaminate,
+    "op5_kd_sharding": op5_kd_sharding,
     "op6_simhash": op6_simhash,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
