@@ -8,8 +8,11 @@ their places by rank within length. Ranks come from counters kept per task and a
 
 from __future__ import annotations
 
+import json
 import os
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +24,12 @@ from .common import documents, stage
 
 SIZE = 4096
 EOS = 1
-#: Words whose tokens a worker remembers at most.
+#: Words after which a worker begins to forget those not seen again.
 REMEMBERED = 400_000
+#: Signs that end words.
+TAIL = ".,;:!?"
+
+assert sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def vocabulary() -> str:
@@ -43,24 +50,65 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tok, self.known, self.older = Tokenizer.from_file(path), {"": b""}, {}
+        rules = json.loads(self.tok.to_str())
+        steps = rules["pre_tokenizer"].get("pretokenizers", [])
+        self.plain = None
+        if steps and steps[-1]["type"] == "ByteLevel":
+            # for one lower-case word of Latin letters, normal forms and splits change nothing
+            rules |= {"normalizer": None, "pre_tokenizer": steps[-1], "added_tokens": []}
+            self.plain = Tokenizer.from_str(json.dumps(rules))
 
     def encode(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
+        new = set(chunks).difference(self.known)
+        if new:
+            self._learn(new, chunks)
         known = self.known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            self.known = known = {"": b""}
-        new = list({c for c in chunks if c not in known})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for c, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False)):
-                known[c] = np.asarray(e.ids, dtype="<u4").tobytes()
         return b"".join([known[c] for c in chunks])
 
+    def _learn(self, new: set[str], chunks: list[str]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.known, self.older, new = {"": b""}, self.known, set(chunks)  # what is used again moves over
+            new.discard("")
+        known, older = self.known, self.older
+        plain, words, made = {}, {}, []
+        for c in new:
+            if c in older:
+                known[c] = older[c]
+                continue
+            # a word and the signs after it are split from each other, and case is folded, before anything else
+            word = c.rstrip(TAIL)
+            if word.isalpha() and max(word) < "\u0100":
+                low = word.lower()
+                if low not in known and low not in plain:
+                    if low in older:
+                        known[low] = older[low]
+                    else:
+                        plain[low] = None
+                if low != c:
+                    made.append((c, low, tail := c[len(word) :]))
+                    if tail not in known:
+                        words[tail] = None
+            else:
+                words[c] = None
+        for tok, part in ((self.plain or self.tok, list(plain)), (self.tok, list(words))):
+            if part:
+                for c, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
+                    known[c] = array("I", e.ids).tobytes()
+        for c, low, tail in made:
+            known[c] = known[low] + known[tail]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder a process: a worker that Spark uses again still knows the words of its earlier tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, task, nth[, ids]): the pieces of every row's token ids.
@@ -70,7 +118,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, id_col: str = "doc_id",
     """
 
     def run(batches):
-        enc, seen, task = Encoder(path), np.zeros(size + 1, dtype=np.int64), TaskContext.get().partitionId()
+        enc, seen, task = encoder(path), np.zeros(size + 1, dtype=np.int64), TaskContext.get().partitionId()
         end = np.asarray([EOS], dtype="<u4").tobytes()
 
         def made(cols):
