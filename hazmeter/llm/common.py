@@ -57,14 +57,15 @@ def drop_staged(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def name_runs(df: DataFrame, route: str, keys: list[str], order: list[str], label: str) -> DataFrame:
+def name_runs(df: DataFrame, route: str, keys: list[str], order: list[str], label: str, repeats_only: bool = False) -> DataFrame:
     """Give equal keys one integer name by sorting, without gathering any key in one task.
 
     ``route`` is a long column that depends on the keys alone. Rows are range-partitioned on (route, order), so
     a key with a third of all rows spreads over many partitions; each partition is sorted and numbered. A key
     that crosses partitions gets several names, which the edge rows (the first and last route of each partition)
     bring back to the smallest one. Returns the columns of ``df`` but the keys and the route, with ``name`` (long)
-    and ``is_first`` (boolean: the first row of its key in the order).
+    and ``is_first`` (boolean: the first row of its key in the order); with ``repeats_only`` the rows that are not
+    first in theirs, and perhaps a few that are. The route may be a key itself.
     """
     kept = [T.StructField(f.name, f.dataType, True) for f in df.schema.fields if f.name not in keys and f.name != route]
     key_fields = [df.schema[k] for k in keys]
@@ -95,7 +96,8 @@ def name_runs(df: DataFrame, route: str, keys: list[str], order: list[str], labe
             routes = b.column(route)
             r = routes.to_numpy(zero_copy_only=False)
             data = [b.column(f.name) for f in kept] + [pa.array(pid + ranks), pa.array(new), pa.array(np.zeros(n, dtype=bool)), pa.nulls(n, pa.int64()), *[pa.nulls(n, c.type) for c in cols]]
-            yield pa.RecordBatch.from_arrays([x.cast(f.type) if x.type != f.type else x for x, f in zip(data, arrow)], schema=arrow)
+            batch = pa.RecordBatch.from_arrays([x.cast(f.type) if x.type != f.type else x for x, f in zip(data, arrow)], schema=arrow)
+            yield batch.filter(pa.array(~new | (ranks == 0))) if repeats_only else batch
             if first_route is None:
                 first_route = int(r[0])
             if int(r[-1]) != last_route:

@@ -203,7 +203,8 @@ def place(cut: DataFrame, size: int = SIZE) -> DataFrame:
     held = spark.sparkContext.broadcast((runs["length"], runs["rank"], runs["sequence"], runs["offset"]))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = stage(by_task.select(F.col("length").alias("l"), F.col("task").alias("t"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "ranks")
-    ranked = cut.join(base, (F.col("length") == F.col("l")) & (F.col("task") == F.col("t"))).withColumn("rank", F.col("nth") + F.col("base")).drop("l", "t", "base", "nth", "task")
+    # one row a length and task: it grows with the input, so it is never broadcast
+    ranked = cut.join(base.hint("merge"), (F.col("length") == F.col("l")) & (F.col("task") == F.col("t"))).withColumn("rank", F.col("nth") + F.col("base")).drop("l", "t", "base", "nth", "task")
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name != "rank")
 
     def seat(batches):

@@ -7,12 +7,16 @@ from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .kd_shards import op5_kd_sharding
 from .language_id import op8_language_id
 from .packing import op9_packing
+from .pii import op4_pii
 from .secret_scan import op1_secret_scan
 from .simhash import op6_simhash
+from .span_dedup import op2_span_dedup
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_span_dedup": op2_span_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_pii": op4_pii,
     "op5_kd_sharding": op5_kd_sharding,
     "op6_simhash": op6_simhash,
     "op7_exact_dedup": op7_exact_dedup,
