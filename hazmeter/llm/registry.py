@@ -6,6 +6,7 @@ from .decontaminate import op3_decontaminate
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .kd_shards import op5_kd_sharding
 from .language_id import op8_language_id
+from .license_scan import op10_license_scan
 from .packing import op9_packing
 from .pii import op4_pii
 from .secret_scan import op1_secret_scan
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLES = {
     "op7_exact_dedup": OP7_SQL,
