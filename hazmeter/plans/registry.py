@@ -4,7 +4,187 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from hazmeter.functions import paths, score
+from hazmeter.operators import filters, resolve, spans, summary
+from hazmeter.plans.derived import SQL_FUNCTIONS, SQL_LINES, SQL_SCORED, functions, hit_rows, path_pairs, table
+from hazmeter.sources import coverprofile, lcov
+
+THRESHOLD = 15.0
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.score_functions(functions(spark, sf_dir), hit_rows(spark, sf_dir))
+
+
+def end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.ordered(scored(spark, sf_dir)).withColumn("risk", score.risk(F.col("crap"))).withColumn("exceeds", score.exceeds(F.col("crap"), THRESHOLD))
+
+
+def lcov_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hit_rows(spark, sf_dir).groupBy("path").agg(F.array_join(F.collect_list(F.concat(F.lit("DA:"), "line", F.lit(","), "hits")), "\n").alias("da"))
+    texts = rows.select(F.col("path").alias("source"), F.concat(F.lit("TN:\nSF:"), "path", F.lit("\n"), "da", F.lit("\nend_of_record\n")).alias("text"))
+    return lcov.coverage_lines(lcov.records(texts)).withColumn("hits", F.col("hits").cast("long"))
+
+
+def coverage_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hit_rows(spark, sf_dir)
+    return lcov.merge(rows.where("line <= 200"), rows.where("line > 150")).withColumn("hits", F.col("hits").cast("long"))
+
+
+def _profile(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    p = functions(spark, sf_dir).withColumn("hits", F.col("complexity") % 3)
+    line = F.concat("file", F.lit(":"), "start_line", F.lit(".1,"), "end_line", F.lit(".9 3 "), "hits")
+    texts = p.groupBy("file").agg(F.array_join(F.collect_list(line), "\n").alias("t")).select(F.col("file").alias("source"), F.concat(F.lit(f"mode: {mode}\n"), "t", F.lit("\n\n")).alias("text"))
+    return coverprofile.coverage_lines(coverprofile.blocks(texts)).withColumn("hits", F.col("hits").cast("long"))
+
+
+def import_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hit_rows(spark, sf_dir).select(F.concat(F.lit("example.com/"), "path").alias("path"), "line", "hits")
+    modules = spark.createDataFrame([("example.com/pkg_1", "one"), ("example.com/pkg_1/src", "deep"), ("example.com", "root"), ("example.com/pkg", "never")], "module_path string, module_root string")
+    return coverprofile.remap(rows, modules).withColumn("hits", F.col("hits").cast("long"))
+
+
+def path_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.resolve(*path_pairs(spark, sf_dir))
+
+
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = table(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_replace("url", "^[a-z]+://", "/./"), F.lit("//x/./y")).alias("path"))
+    return url.select("page_id", F.array_join(paths.components(F.col("path")), "|").alias("parts"), paths.location(F.col("path"), F.col("page_id"), "/.").alias("location"))
+
+
+def span_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fs = functions(spark, sf_dir).select(F.col("seq").alias("fid"), F.col("file").alias("peer"), F.col("file").alias("cov_key"), "start_line", "end_line")
+    lines = hit_rows(spark, sf_dir).groupBy(F.col("path").alias("cov_key"), "line").agg(F.sum("hits").alias("hits"))
+    return spans.covered_lines(fs, lines).groupBy("fid").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("hits") > 0).alias("covered"))
+
+
+def range_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.merge_ranges(functions(spark, sf_dir).select("file", F.col("start_line").alias("lo"), F.col("end_line").alias("hi")), "file")
+
+
+def score_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 3.0 - 10.0).alias("coverage"), (F.col("p_partkey") % 40).alias("complexity"))
+    rows = rows.withColumn("crap", score.crap(F.col("complexity"), F.col("coverage")))
+    return rows.withColumn("risk", score.risk(F.col("crap"))).withColumn("exceeds", score.exceeds(F.col("crap"), THRESHOLD))
+
+
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = summary.summarise(scored(spark, sf_dir), THRESHOLD, True)
+    return s.withColumns({"average_crap": F.round("average_crap", 6), "median_crap": F.round("median_crap", 6), "worst": F.col("worst.function")})
+
+
+def package_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.by_package(scored(spark, sf_dir), THRESHOLD)
+
+
+def missing_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for m in spans.Missing:
+        one = spans.score_functions(functions(spark, sf_dir), hit_rows(spark, sf_dir).where("line < 200"), m).groupBy("coverage_join").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("coverage"), 6).alias("coverage")).withColumn("policy", F.lit(m.value))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def output_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("crate_name").orderBy(F.col("crap").desc(), paths.sort_key(F.col("file")), "start_line", "seq")
+    return scored(spark, sf_dir).select("crate_name", "seq", F.row_number().over(order).alias("place"))
+
+
+def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rel = F.regexp_replace("url", "^[a-z]+://", "")
+    return table(spark, sf_dir, "pages").select("page_id", rel.alias("rel")).where(filters.matches_any(F.col("rel"), ["./*/**/", "!**/*1"])).select("page_id", "rel")
+
+
+def feature_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    name = lambda c: F.concat(F.lit("f"), c)
+    edges = n.select(name(F.col("n_nationkey")).alias("feature"), F.explode(F.array(name((F.col("n_nationkey") * 2 + 1) % 25), F.concat(F.lit("dep:d"), F.col("n_nationkey")))).alias("enables"))
+    return filters.close_features(edges, spark.createDataFrame([("f0",), ("f2",)], "feature string"))
+
+
+def duplicate_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.duplicate_names(table(spark, sf_dir, "part").select(F.col("p_type").alias("name")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "end_to_end": end_to_end,
+    "lcov_parse": lcov_parse,
+    "coverage_merge": coverage_merge,
+    "coverprofile_count": lambda s, d: _profile(s, d, "count"),
+    "coverprofile_set": lambda s, d: _profile(s, d, "set"),
+    "import_remap": import_remap,
+    "path_resolve": path_resolve,
+    "path_parts": path_parts,
+    "span_coverage": span_coverage,
+    "range_merge": range_merge,
+    "score_gate": score_gate,
+    "run_summary": run_summary,
+    "package_rollup": package_rollup,
+    "missing_policies": missing_policies,
+    "output_order": output_order,
+    "glob_filter": glob_filter,
+    "feature_closure": feature_closure,
+    "duplicate_packages": duplicate_packages,
+}
+
+_RISK = "CASE WHEN isnan(crap) OR isinf(crap) THEN 'high' WHEN crap <= 8 THEN 'low' WHEN crap <= 15 THEN 'acceptable' WHEN crap <= 25 THEN 'moderate' ELSE 'high' END"
+_PROFILE = "WITH " + SQL_FUNCTIONS + ", b AS (SELECT file AS path, complexity % 3 AS hits, unnest(range(start_line, end_line + 1)) AS line FROM functions) SELECT path, line, CAST(CASE WHEN min(hits) = 0 THEN 0 ELSE {} END AS BIGINT) AS hits FROM b GROUP BY path, line"
+_POLICY = """SELECT coverage_join, count(*) AS n, round(avg(coverage), 6) AS coverage, '{0}' AS policy FROM (SELECT coverage_join, CASE WHEN coverage_join = 'measured' THEN coverage ELSE {1} END AS coverage FROM scored) {2} GROUP BY coverage_join"""
+
+ORACLES: dict[str, str] = {
+    "end_to_end": f"WITH {SQL_SCORED} SELECT seq, file, function, start_line, end_line, complexity, coverage, coverage_join, crap, crate_name, {_RISK} AS risk, crap > 15 AS exceeds FROM scored",
+    "lcov_parse": f"WITH {SQL_LINES} SELECT path, line, hits FROM lines",
+    "coverage_merge": f"WITH {SQL_LINES} SELECT path, line, CAST(sum(hits) AS BIGINT) AS hits FROM (SELECT * FROM hit_rows WHERE line <= 200 UNION ALL SELECT * FROM hit_rows WHERE line > 150) GROUP BY path, line",
+    "coverprofile_count": _PROFILE.format("sum(hits)"),
+    "coverprofile_set": _PROFILE.format("1"),
+    "import_remap": f"WITH {SQL_LINES} SELECT CASE WHEN path LIKE 'pkg_1/src/%' THEN 'deep/' || substr(path, 11) ELSE 'root/' || path END AS path, line, hits FROM lines",
+    "path_resolve": """
+WITH src AS (SELECT DISTINCT file, package, list_filter(string_split(file, '/'), lambda x: x NOT IN ('', '.')) AS parts, list_filter(string_split(coalesce(package, ''), '/'), lambda x: x <> '') AS names FROM (
+  SELECT CASE s_suppkey % 4 WHEN 0 THEN 'm_' || (s_suppkey % 5) || '/src/u_' || (s_suppkey % 3) || '.rs' WHEN 1 THEN 'src/u_' || (s_suppkey % 3) || '.rs'
+              WHEN 2 THEN 'u_' || (s_suppkey % 3) || '.rs' ELSE './ws/m_' || (s_suppkey % 5) || '/src/u_' || (s_suppkey % 3) || '.rs' END AS file,
+         CASE WHEN s_suppkey % 11 = 0 THEN NULL WHEN s_suppkey % 2 = 0 THEN 'm_' || (s_suppkey % 4) ELSE 'org/m_' || (s_suppkey % 4) END AS package FROM supplier)),
+keys AS (SELECT DISTINCT path, string_split(path, '/') AS k FROM (
+  SELECT CASE WHEN n_nationkey % 7 = 0 THEN 'x/m_' || (n_nationkey % 5) || '/lib/u_' || (n_nationkey % 3) || '.rs' WHEN n_nationkey % 2 = 0 THEN 'ws/m_' || (n_nationkey % 5) || '/src/u_' || (n_nationkey % 3) || '.rs'
+              ELSE 'a_' || (n_nationkey % 4) || '/src/u_' || (n_nationkey % 3) || '.rs' END AS path FROM nation)),
+cand AS (SELECT file, package, names, unnest(CASE WHEN len(parts) > 1 AND len(names) > 1 THEN [parts, list_concat(names, parts), list_concat([names[len(names)]], parts)]
+                                                  WHEN len(parts) > 1 AND len(names) = 1 THEN [parts, list_concat(names, parts)] ELSE [parts] END) AS c FROM src),
+hit AS (SELECT file, package, names, path, k, len(k) <= len(c) AS e, least(len(k), len(c)) AS n, k = c AS x FROM cand JOIN keys
+        ON list_slice(k, len(k) - least(len(k), len(c)) + 1, len(k)) = list_slice(c, len(c) - least(len(k), len(c)) + 1, len(c))),
+won AS (SELECT DISTINCT file, package, names, path, k FROM (SELECT *, rank() OVER (PARTITION BY file, package ORDER BY e DESC, n DESC, x DESC) AS r FROM hit) WHERE r = 1),
+named AS (SELECT *, CASE WHEN len(names) = 1 THEN len(list_filter(range(1, len(k)), lambda i: k[i] = names[1] AND k[i + 1] IN ('src', 'lib', 'tests', 'benches', 'examples'))) > 0
+                         WHEN len(names) > 1 THEN list_contains(k, names[len(names)]) ELSE false END AS strong,
+                 len(names) > 0 AND list_contains(k, names[len(names)]) AS weak FROM won),
+pick AS (SELECT file, package, CASE WHEN count(*) = 1 THEN any_value(path) WHEN count(*) FILTER (WHERE strong) = 1 THEN any_value(path) FILTER (WHERE strong)
+                                    WHEN count(*) FILTER (WHERE weak) = 1 THEN any_value(path) FILTER (WHERE weak) END AS cov_key, true AS seen FROM named GROUP BY file, package)
+SELECT s.file, s.package, p.cov_key, CASE WHEN p.seen IS NULL THEN 'missing' WHEN p.cov_key IS NULL THEN 'ambiguous' ELSE 'found' END AS status
+FROM src s LEFT JOIN pick p ON p.file = s.file AND p.package IS NOT DISTINCT FROM s.package""",
+    "path_parts": """
+SELECT page_id, array_to_string(list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.')), '|') AS parts, substr(path, 4) || ':' || page_id AS location
+FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '/./') || '//x/./y' AS path FROM pages)""",
+    "span_coverage": f"WITH {SQL_SCORED} SELECT seq AS fid, total, covered FROM held",
+    "range_merge": f"""
+WITH {SQL_FUNCTIONS}, m AS (SELECT file, start_line AS lo, end_line AS hi, max(end_line) OVER (PARTITION BY file ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM functions),
+i AS (SELECT *, sum(CASE WHEN prev IS NULL OR lo > prev + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT file, min(lo) AS lo, max(hi) AS hi FROM i GROUP BY file, island""",
+    "score_gate": f"""
+WITH r AS (SELECT p_partkey, p_size * 3.0::DOUBLE - 10.0 AS coverage, p_partkey % 40 AS complexity, 1.0 - greatest(0.0, least(100.0, p_size * 3.0::DOUBLE - 10.0)) / 100.0 AS u FROM part),
+s AS (SELECT p_partkey, coverage, complexity, complexity::DOUBLE * complexity::DOUBLE * (u * (u * u)) + complexity::DOUBLE AS crap FROM r)
+SELECT *, {_RISK} AS risk, crap > 15 AS exceeds FROM s""",
+    "run_summary": f"""
+WITH {SQL_SCORED}
+SELECT count(*) AS functions, count(*) FILTER (WHERE crap > 15) AS exceeding, CAST(0 AS BIGINT) AS ambiguous, round(avg(crap), 6) AS average_crap, round(median(crap), 6) AS median_crap,
+       count(*) FILTER (WHERE crap <= 8) AS low, count(*) FILTER (WHERE crap > 8 AND crap <= 15) AS acceptable, count(*) FILTER (WHERE crap > 15 AND crap <= 25) AS moderate, count(*) FILTER (WHERE crap > 25) AS high,
+       bool_or(crap > 15) AS gate_failed, NOT bool_or(crap > 15) AS threshold_cleared, bool_or(crap > 15 AND coverage < 90) AS needs_tests, bool_or(crap > 15 AND coverage >= 90) AS needs_refactor, count(crate_name) > 0 AS uses_packages,
+       (SELECT function FROM scored ORDER BY crap DESC, list_filter(string_split(file, '/'), lambda x: x <> '') DESC, start_line DESC, seq DESC LIMIT 1) AS worst
+FROM scored""",
+    "package_rollup": f"WITH {SQL_SCORED} SELECT crate_name, count(*) AS functions, count(*) FILTER (WHERE crap > 15) AS over FROM scored WHERE crate_name IS NOT NULL GROUP BY crate_name",
+    "missing_policies": f"WITH {SQL_SCORED.replace('FROM lineitem)', 'FROM lineitem WHERE l_orderkey % 400 + 1 < 200)')} " + " UNION ALL ".join(_POLICY.format(*x) for x in (("pessimistic", "0.0", ""), ("optimistic", "100.0", ""), ("skip", "0.0", "WHERE coverage_join = 'measured'"))),
+    "output_order": f"WITH {SQL_SCORED} SELECT crate_name, seq, row_number() OVER (PARTITION BY crate_name ORDER BY crap DESC, string_split(file, '/'), start_line, seq) AS place FROM scored",
+    "glob_filter": "SELECT page_id, rel FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS rel FROM pages) WHERE rel <> '' AND NOT regexp_matches(rel, '//|^/|/$') AND NOT (string_split(rel, '/')[-1] = '*1')",
+    "feature_closure": "WITH RECURSIVE e AS (SELECT 'f' || n_nationkey AS a, 'f' || ((n_nationkey * 2 + 1) % 25) AS b FROM nation), c AS (SELECT unnest(['f0', 'f2']) AS feature UNION SELECT b FROM e JOIN c ON a = feature) SELECT feature FROM c",
+    "duplicate_packages": "SELECT p_type AS name, count(*) AS n FROM part GROUP BY p_type HAVING count(*) > 1",
+}
