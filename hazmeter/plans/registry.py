@@ -11,6 +11,7 @@ from hazmeter.functions import paths, score
 from hazmeter.operators import filters, resolve, spans, summary
 from hazmeter.plans.derived import SQL_FUNCTIONS, SQL_LINES, SQL_SCORED, functions, hit_rows, path_pairs, table
 from hazmeter.sources import coverprofile, lcov
+from hazmeter.sources import functions as source_functions
 
 THRESHOLD = 15.0
 
@@ -110,6 +111,31 @@ def duplicate_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.duplicate_names(table(spark, sf_dir, "part").select(F.col("p_type").alias("name")))
 
 
+def _sources(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
+    """A source file for each part, its branches and its nesting by the part's size."""
+    p = table(spark, sf_dir, "part")
+    text = F.lit(template)
+    for mark, value in (("@N", F.col("p_partkey")), ("@S", F.col("p_size"))):
+        text = F.replace(text, F.lit(mark), value.cast("string"))
+    more = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("p_size") % 7)), lambda i: F.concat(F.lit("@B"), i.cast("string"))), "")
+    text = F.replace(text, F.lit("@MORE"), more)
+    return p.select(F.col("p_partkey").alias("seq"), F.concat(F.lit("f_"), "p_partkey").alias("file"), text.alias("text"), F.col("p_brand").alias("crate_name"), F.lit(None).cast("string").alias("join_key"))
+
+
+#: One function with p_size % 7 (at least one) branches, each of an if and two operators, and a method in a type.
+PYTHON = "class C@N:\n    def m(self, x):\n        return 1 if x else 0\n\ndef f@N(a, b):\n@MORE    return 'if and or'\n"
+PYTHON_BRANCH = "    if a and b and @S:\n        pass\n"
+GO = "package p\n\nfunc (c *C@N) m(x int) { for x > 0 { } }\n\nfunc f@N(a, b bool) {\n@MORE\treturn // if\n}\n"
+GO_BRANCH = "\tif a && b && @S > 0 {\n\t}\n"
+
+
+def _scan(spark: SparkSession, sf_dir: str, language: str, template: str, branch: str, metric: str) -> DataFrame:
+    rows = _sources(spark, sf_dir, template)
+    text = F.regexp_replace("text", "@B[0-9]+", branch.replace("@S", "9").replace("\\", "\\\\"))
+    found = source_functions.scan(rows.withColumn("content", text.cast("binary")), language, metric)
+    return found.select("file", "function", "start_line", "end_line", "complexity", "crate_name")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "end_to_end": end_to_end,
     "lcov_parse": lcov_parse,
@@ -129,6 +155,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "glob_filter": glob_filter,
     "feature_closure": feature_closure,
     "duplicate_packages": duplicate_packages,
+    "scan_python": lambda s, d: _scan(s, d, "python", PYTHON, PYTHON_BRANCH, "cyclomatic"),
+    "scan_python_cognitive": lambda s, d: _scan(s, d, "python", PYTHON, PYTHON_BRANCH, "cognitive"),
+    "scan_go": lambda s, d: _scan(s, d, "go", GO, GO_BRANCH, "cyclomatic"),
+    "scan_go_cognitive": lambda s, d: _scan(s, d, "go", GO, GO_BRANCH, "cognitive"),
 }
 
 _RISK = "CASE WHEN isnan(crap) OR isinf(crap) THEN 'high' WHEN crap <= 8 THEN 'low' WHEN crap <= 15 THEN 'acceptable' WHEN crap <= 25 THEN 'moderate' ELSE 'high' END"
@@ -187,4 +217,13 @@ FROM scored""",
     "glob_filter": "SELECT page_id, rel FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS rel FROM pages) WHERE rel <> '' AND NOT regexp_matches(rel, '//|^/|/$') AND NOT (string_split(rel, '/')[-1] = '*1')",
     "feature_closure": "WITH RECURSIVE e AS (SELECT 'f' || n_nationkey AS a, 'f' || ((n_nationkey * 2 + 1) % 25) AS b FROM nation), c AS (SELECT unnest(['f0', 'f2']) AS feature UNION SELECT b FROM e JOIN c ON a = feature) SELECT feature FROM c",
     "duplicate_packages": "SELECT p_type AS name, count(*) AS n FROM part GROUP BY p_type HAVING count(*) > 1",
+    # what the templates hold, counted by hand: see PYTHON and GO
+    **{
+        name: f"""WITH b AS (SELECT *, greatest(1, p_size % 7)::BIGINT AS n FROM part)
+SELECT 'f_' || p_partkey AS file, 'C' || p_partkey || '.m' AS function, {m_line}::BIGINT AS start_line, {m_end}::BIGINT AS end_line, {m}::BIGINT AS complexity, p_brand AS crate_name FROM b
+UNION ALL SELECT 'f_' || p_partkey, 'f' || p_partkey, 5::BIGINT, {f_end} + 2 * n, {f}, p_brand FROM b"""
+        for name, m_line, m_end, m, f_end, f in (
+            ("scan_python", 2, 3, 2, 6, "1 + 3 * n"), ("scan_python_cognitive", 2, 3, 0, 6, "2 * n"), ("scan_go", 3, 3, 2, 7, "1 + 3 * n"), ("scan_go_cognitive", 3, 3, 1, 7, "2 * n"),
+        )
+    },
 }
