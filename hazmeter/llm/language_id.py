@@ -23,7 +23,7 @@ BUCKETS = 1 << 15
 FIT_ROWS = 40_000
 UNKNOWN = "und"
 #: Code points handled at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _MIX = np.uint32(2654435761)
 
 

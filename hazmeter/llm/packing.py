@@ -25,7 +25,7 @@ from .common import documents, stage
 SIZE = 4096
 EOS = 1
 #: Words after which a worker begins to forget those not seen again.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Signs that end words.
 TAIL = ".,;:!?"
 
