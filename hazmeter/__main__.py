@@ -21,6 +21,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--missing", type=Missing, choices=list(Missing), default=Missing.PESSIMISTIC)
     p.add_argument("--format", type=Format, choices=list(Format), default=Format.TEXT)
     p.add_argument("--tags", default="")
+    chosen = p.add_mutually_exclusive_group()
+    chosen.add_argument("--workspace", action="store_true")
+    chosen.add_argument("-p", "--package", action="append", default=[])
     return p
 
 
@@ -37,7 +40,7 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName("hazmeter").getOrCreate()
     try:
-        scored, failed = engine.run(spark, request, a.language, [t for t in a.tags.split(",") if t])
+        scored, failed = engine.run(spark, request, a.language, [t for t in a.tags.split(",") if t], a.workspace, a.package)
         engine.write(scored, request, a.language)
     except (HazardError, OSError, PySparkException) as err:
         print(f"error: {err}", file=sys.stderr)

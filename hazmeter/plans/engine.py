@@ -13,42 +13,36 @@ from hazmeter.functions import score
 from hazmeter.model import Format, ScanRequest
 from hazmeter.operators.spans import score_functions
 from hazmeter.plans import report
-from hazmeter.sources import coverprofile, functions, lcov
-
-
-def go_modules(root: str) -> list[tuple[str, str]]:
-    """(module path, folder) of each go.mod at or below ``root``, by module path."""
-    out = []
-    for folder, dirs, names in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if d not in functions.SKIPPED["go"])
-        if "go.mod" in names:
-            with open(os.path.join(folder, "go.mod"), encoding="utf-8") as f:
-                words = (line.strip() for line in f)
-                name = next((w[6:].strip() for w in words if w.startswith("module") and w[6:].strip()), None)
-            if name:
-                out.append((name, folder))
-    return sorted(out)
+from hazmeter.sources import coverprofile, discovery, functions, lcov
 
 
 def coverage(spark: SparkSession, request: ScanRequest, language: str) -> DataFrame:
     if language != "go":
         return lcov.read(spark, request.coverage)
-    modules = go_modules(request.path)
+    modules = [(m.name, m.root) for m in discovery.modules_for_remap(request.path)]
     table = spark.createDataFrame(modules, "module_path string, module_root string") if modules else None
     return coverprofile.read(spark, request.coverage, table)
 
 
-def run_with_coverage(spark: SparkSession, request: ScanRequest, language: str, lines: DataFrame, tags: Iterable[str] = ()) -> tuple[DataFrame, bool]:
+def collect(spark: SparkSession, request: ScanRequest, language: str, tags: Iterable[str] = (), workspace: bool = False, packages: Iterable[str] = ()) -> DataFrame:
+    """Functions of every target, in order of targets and files; one broken file fails them all."""
+    sources, n = None, 0
+    for t in discovery.targets(request.path, language, workspace, packages):
+        files = functions.walk(t.root, language, t.skip)
+        one = functions.load(spark, files, t.crate_name, t.join_key, n)
+        sources, n = one if sources is None else sources.unionByName(one), n + len(files)
+    return functions.checked(functions.scan(sources, language, request.metric.value, tags).cache(), n, language)
+
+
+def run_with_coverage(spark: SparkSession, request: ScanRequest, language: str, lines: DataFrame, tags: Iterable[str] = (), workspace: bool = False, packages: Iterable[str] = ()) -> tuple[DataFrame, bool]:
     """(scored rows, whether the gate failed). Scored rows are cached: gate and report read them."""
-    files = functions.walk(request.path, language)
-    found = functions.scan(functions.load(spark, files), language, request.metric.value, tags).cache()
-    scored = score_functions(functions.checked(found, len(files), language), lines, request.missing).cache()
+    scored = score_functions(collect(spark, request, language, tags, workspace, packages), lines, request.missing).cache()
     failed = request.fail_above and not scored.where(score.exceeds(F.col("crap"), request.limit)).isEmpty()
     return scored, failed
 
 
-def run(spark: SparkSession, request: ScanRequest, language: str, tags: Iterable[str] = ()) -> tuple[DataFrame, bool]:
-    return run_with_coverage(spark, request, language, coverage(spark, request, language), tags)
+def run(spark: SparkSession, request: ScanRequest, language: str, tags: Iterable[str] = (), workspace: bool = False, packages: Iterable[str] = ()) -> tuple[DataFrame, bool]:
+    return run_with_coverage(spark, request, language, coverage(spark, request, language), tags, workspace, packages)
 
 
 def write(scored: DataFrame, request: ScanRequest, language: str, out=None) -> None:
