@@ -292,25 +292,25 @@ def enabled_features(package: Package | None, features: Iterable[str] = (), all_
     return sorted(seen)
 
 
-PACKAGES = {"go": go_packages, "python": python_packages}
-MANIFESTS = {"go": "go.mod", "python": "pyproject.toml"}
+PACKAGES = {"go": go_packages, "python": python_packages, "typescript": npm_packages}
+MANIFESTS = {"go": "go.mod", "python": "pyproject.toml", "typescript": "package.json"}
 
 
 def targets(path: str, language: str, workspace: bool = False, names: Iterable[str] = ()) -> list[Target]:
     """What to walk: the selected packages, else what the manifest at ``path`` stands for, else the bare path.
 
-    At a Go module that is every package of it, at a Python project that project alone.
+    At a Go module that is every package of it, at a Python or npm project that one alone.
     """
     names = list(names)
     manifest = os.path.isfile(os.path.join(path, MANIFESTS[language]))
     if not (workspace or names or manifest):
         return [Target(path)]
-    if language == "python" and not workspace and not names:
-        chosen = [_py_package(path)[0]]
+    if language != "go" and not workspace and not names:
+        chosen = [(_py_package if language == "python" else _npm_package)(path)[0]]
     else:
         found = PACKAGES[language](path)
         if not found:
             raise ResolveError(f"{path}: no {language} package")
         chosen = select(found, names) if names else found
-    keyed = language == "python"
+    keyed = language != "go"
     return [Target(p.root, p.name, join_key(p.root, path) if keyed else None, nested_roots(p, chosen)) for p in chosen]

@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 
 from hazmeter.model import CollectError
 from hazmeter.operators.filters import skip_go_file
-from hazmeter.sources import scan_go, scan_python
+from hazmeter.sources import scan_go, scan_python, scan_typescript
 
-SCANNERS: dict[str, Callable] = {"python": scan_python.analyse, "go": scan_go.analyse}
-SUFFIXES = {"python": (".py",), "go": (".go",)}
-NAMES = {"python": "Python", "go": "Go"}
+SCANNERS: dict[str, Callable] = {"python": scan_python.analyse, "go": scan_go.analyse, "typescript": scan_typescript.analyse}
+SUFFIXES = {"python": (".py",), "go": (".go",), "typescript": (".ts", ".tsx")}
+NAMES = {"python": "Python", "go": "Go", "typescript": "TypeScript"}
 # Folders that a walk does not enter, and the manifest that makes a nested folder a project of its own.
-SKIPPED = {"python": frozenset(".venv venv __pycache__ .git dist build .tox htmlcov coverage .eggs".split()), "go": frozenset("vendor .git testdata".split())}
-MANIFEST = {"python": "pyproject.toml", "go": "go.mod"}
+SKIPPED = {"python": frozenset(".venv venv __pycache__ .git dist build .tox htmlcov coverage .eggs".split()), "go": frozenset("vendor .git testdata".split()), "typescript": frozenset("node_modules .git dist build coverage".split())}
+MANIFEST = {"python": "pyproject.toml", "go": "go.mod", "typescript": "package.json"}
+#: Names that are no source of the language.
+LEFT_OUT = {"python": "\0", "go": "_test.go", "typescript": ".d.ts"}
 #: Functions of one file that ``seq`` has room for.
 ROOM = 1 << 20
 
@@ -81,7 +83,7 @@ def walk(root: str, language: str, skip: Iterable[str] = ()) -> list[str]:
             target = os.path.realpath(entry.path)
             if entry.is_dir():
                 visit(entry.path, False)
-            elif entry.is_file() and entry.name.endswith(SUFFIXES[language]) and not entry.name.endswith("_test.go" if language == "go" else "\0") and target not in seen and target.startswith(real.rstrip("/") + "/"):
+            elif entry.is_file() and entry.name.endswith(SUFFIXES[language]) and not entry.name.endswith(LEFT_OUT[language]) and target not in seen and target.startswith(real.rstrip("/") + "/"):
                 seen.add(target)
                 out.append(entry.path)
 

@@ -72,12 +72,12 @@ def cyclomatic(body: str) -> int:
     return 1 + sum(1 for _ in _DECISION.finditer(body))
 
 
-def cognitive(body: str) -> int:
+def cognitive(body: str, tokens: re.Pattern = _TOKEN) -> int:
     ends = _pairs(body, "{}")
 
     def bools(lo: int, hi: int) -> int:
         n, op = 0, None
-        for m in _TOKEN.finditer(body, lo, hi):
+        for m in tokens.finditer(body, lo, hi):
             if m["op"] and m["op"] != op:
                 n, op = n + 1, m["op"]
             elif m["stop"]:
@@ -88,7 +88,7 @@ def cognitive(body: str) -> int:
     while todo:
         at, hi, depth = todo.pop()
         op = None
-        while m := _TOKEN.search(body, at, hi):
+        while m := tokens.search(body, at, hi):
             at = m.end()
             if m["op"]:
                 total += m["op"] != op
