@@ -13,9 +13,8 @@ U32 = (1 << 32) - 1
 
 def unsigned(text: Column, top: int) -> Column:
     """Decimal value of an unsigned number without blanks, null if it is none or over ``top``."""
-    digits = F.when(text.rlike(r"^\+?[0-9]{1,60}$"), F.regexp_replace(text, r"^\+?0*", ""))
-    value = F.when(F.length(digits) <= 20, F.when(digits == "", F.lit("0")).otherwise(digits).cast("decimal(20,0)"))
-    return F.when(value <= F.lit(str(top)).cast("decimal(20,0)"), value)
+    value = F.when(text.rlike(r"^\+?[0-9]{1,60}$"), text.try_cast("decimal(38,0)"))
+    return F.when(value <= F.lit(str(top)).cast("decimal(38,0)"), value).cast("decimal(20,0)")
 
 
 def saturated(hits: Column) -> Column:
@@ -33,7 +32,9 @@ def records(texts: DataFrame) -> DataFrame:
     marker = F.when(F.col("s").startswith("SF:"), F.replace(F.trim(F.substring("s", 4, 1 << 30)), F.lit("\\"), F.lit("/"))).when(F.col("s") == "end_of_record", F.lit("\0"))
     rows = rows.withColumn("path", F.last(marker, ignorenulls=True).over(Window.partitionBy("source").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     fields = F.split(F.substring("s", 4, 1 << 30), ",")
-    da = rows.where(F.col("s").startswith("DA:")).select("source", "pos", "s", F.nullif("path", F.lit("\0")).alias("path"), unsigned(F.get(fields, F.lit(0)), U32).cast("long").alias("line"), unsigned(F.get(fields, F.lit(1)), U64).alias("hits"))
+    # bound once: the parsed numbers are named again in the error
+    parsed = F.struct(unsigned(F.get(fields, F.lit(0)), U32).cast("long").alias("line"), unsigned(F.get(fields, F.lit(1)), U64).alias("hits"))
+    da = rows.where(F.col("s").startswith("DA:")).select("source", "pos", "s", F.nullif("path", F.lit("\0")).alias("path"), F.explode(F.array(parsed)).alias("n")).select("source", "pos", "s", "path", "n.line", "n.hits")
     error = F.when(F.col("path").isNull(), F.concat(F.lit("DA before SF: "), "s")).when(F.col("line").isNull() | F.col("hits").isNull(), F.concat(F.lit("malformed DA: "), "s"))
     return da.select("source", "pos", "path", "line", "hits", error.alias("error"))
 
