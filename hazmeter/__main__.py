@@ -12,7 +12,7 @@ from hazmeter.sources.functions import SCANNERS
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="hazmeter")
     p.add_argument("--language", choices=sorted(SCANNERS), required=True)
-    p.add_argument("--coverage")
+    p.add_argument("--coverage", "--lcov")
     p.add_argument("--path", default=".")
     p.add_argument("--metric", type=Metric, choices=list(Metric), default=Metric.CYCLOMATIC)
     p.add_argument("--threshold", type=parse_threshold)
@@ -20,7 +20,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--fail-above", action="store_true")
     p.add_argument("--missing", type=Missing, choices=list(Missing), default=Missing.PESSIMISTIC)
     p.add_argument("--format", type=Format, choices=list(Format), default=Format.TEXT)
-    p.add_argument("--tags", default="")
+    p.add_argument("--tags", default="", help="Go build tags")
+    p.add_argument("--features", action="append", default=[], help="Cargo features, comma-separated")
+    p.add_argument("--all-features", action="store_true")
+    p.add_argument("--no-default-features", action="store_true")
     chosen = p.add_mutually_exclusive_group()
     chosen.add_argument("--workspace", action="store_true")
     chosen.add_argument("-p", "--package", action="append", default=[])
@@ -37,10 +40,13 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from hazmeter.plans import engine
+    from hazmeter.sources.discovery import FeatureFlags
+
+    flags = FeatureFlags(tuple(f for x in a.features for f in x.split(",") if f), a.all_features, not a.no_default_features)
 
     spark = SparkSession.builder.appName("hazmeter").getOrCreate()
     try:
-        scored, failed = engine.run(spark, request, a.language, [t for t in a.tags.split(",") if t], a.workspace, a.package)
+        scored, failed = engine.run(spark, request, a.language, [t for t in a.tags.split(",") if t], a.workspace, a.package, flags)
         engine.write(scored, request, a.language)
     except (HazardError, OSError, PySparkException) as err:
         print(f"error: {err}", file=sys.stderr)

@@ -14,6 +14,7 @@ from hazmeter.model import Format, ScanRequest
 from hazmeter.operators.spans import score_functions
 from hazmeter.plans import report
 from hazmeter.sources import coverprofile, discovery, functions, lcov
+from hazmeter.sources.discovery import FeatureFlags
 
 
 def coverage(spark: SparkSession, request: ScanRequest, language: str) -> DataFrame:
@@ -24,25 +25,25 @@ def coverage(spark: SparkSession, request: ScanRequest, language: str) -> DataFr
     return coverprofile.read(spark, request.coverage, table)
 
 
-def collect(spark: SparkSession, request: ScanRequest, language: str, tags: Iterable[str] = (), workspace: bool = False, packages: Iterable[str] = ()) -> DataFrame:
+def collect(spark: SparkSession, request: ScanRequest, language: str, tags: Iterable[str] = (), workspace: bool = False, packages: Iterable[str] = (), flags: FeatureFlags = FeatureFlags()) -> DataFrame:
     """Functions of every target, in order of targets and files; one broken file fails them all."""
     sources, n = None, 0
-    for t in discovery.targets(request.path, language, workspace, packages):
+    for t in discovery.targets(request.path, language, workspace, packages, flags):
         files = functions.walk(t.root, language, t.skip)
-        one = functions.load(spark, files, t.crate_name, t.join_key, n)
+        one = functions.load(spark, files, t.crate_name, t.join_key, n, t.features)
         sources, n = one if sources is None else sources.unionByName(one), n + len(files)
     return functions.checked(functions.scan(sources, language, request.metric.value, tags).cache(), n, language)
 
 
-def run_with_coverage(spark: SparkSession, request: ScanRequest, language: str, lines: DataFrame, tags: Iterable[str] = (), workspace: bool = False, packages: Iterable[str] = ()) -> tuple[DataFrame, bool]:
+def run_with_coverage(spark: SparkSession, request: ScanRequest, language: str, lines: DataFrame, tags: Iterable[str] = (), workspace: bool = False, packages: Iterable[str] = (), flags: FeatureFlags = FeatureFlags()) -> tuple[DataFrame, bool]:
     """(scored rows, whether the gate failed). Scored rows are cached: gate and report read them."""
-    scored = score_functions(collect(spark, request, language, tags, workspace, packages), lines, request.missing).cache()
+    scored = score_functions(collect(spark, request, language, tags, workspace, packages, flags), lines, request.missing).cache()
     failed = request.fail_above and not scored.where(score.exceeds(F.col("crap"), request.limit)).isEmpty()
     return scored, failed
 
 
-def run(spark: SparkSession, request: ScanRequest, language: str, tags: Iterable[str] = (), workspace: bool = False, packages: Iterable[str] = ()) -> tuple[DataFrame, bool]:
-    return run_with_coverage(spark, request, language, coverage(spark, request, language), tags, workspace, packages)
+def run(spark: SparkSession, request: ScanRequest, language: str, tags: Iterable[str] = (), workspace: bool = False, packages: Iterable[str] = (), flags: FeatureFlags = FeatureFlags()) -> tuple[DataFrame, bool]:
+    return run_with_coverage(spark, request, language, coverage(spark, request, language), tags, workspace, packages, flags)
 
 
 def write(scored: DataFrame, request: ScanRequest, language: str, out=None) -> None:

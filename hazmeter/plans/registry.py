@@ -130,6 +130,9 @@ GO_BRANCH = "\tif a && b && @S > 0 {\n\t}\n"
 TYPESCRIPT = "class C@N { m(x) { return x ? 1 : 0 } }\n\nfunction f@N(a, b) {\n@MORE  return 'if'\n}\n"
 TYPESCRIPT_BRANCH = "  if (a && b && @S) {\n  }\n"
 
+RUST = "impl C@N { fn m(&self, x: u8) { while x > 0 { } } }\n\nfn f@N(a: bool, b: bool) {\n@MORE    g() // if\n}\n"
+RUST_BRANCH = "    if a && b && @S > 0 {\n    }\n"
+
 
 def _scan(spark: SparkSession, sf_dir: str, language: str, template: str, branch: str, metric: str) -> DataFrame:
     rows = _sources(spark, sf_dir, template)
@@ -162,6 +165,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_typescript": lambda s, d: _scan(s, d, "typescript", TYPESCRIPT, TYPESCRIPT_BRANCH, "cyclomatic"),
     "scan_typescript_cognitive": lambda s, d: _scan(s, d, "typescript", TYPESCRIPT, TYPESCRIPT_BRANCH, "cognitive"),
     "scan_go": lambda s, d: _scan(s, d, "go", GO, GO_BRANCH, "cyclomatic"),
+    "scan_rust": lambda s, d: _scan(s, d, "rust", RUST, RUST_BRANCH, "cyclomatic"),
+    "scan_rust_cognitive": lambda s, d: _scan(s, d, "rust", RUST, RUST_BRANCH, "cognitive"),
     "scan_go_cognitive": lambda s, d: _scan(s, d, "go", GO, GO_BRANCH, "cognitive"),
 }
 
@@ -221,14 +226,15 @@ FROM scored""",
     "glob_filter": "SELECT page_id, rel FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS rel FROM pages) WHERE rel <> '' AND NOT regexp_matches(rel, '//|^/|/$') AND NOT (string_split(rel, '/')[-1] = '*1')",
     "feature_closure": "WITH RECURSIVE e AS (SELECT 'f' || n_nationkey AS a, 'f' || ((n_nationkey * 2 + 1) % 25) AS b FROM nation), c AS (SELECT unnest(['f0', 'f2']) AS feature UNION SELECT b FROM e JOIN c ON a = feature) SELECT feature FROM c",
     "duplicate_packages": "SELECT p_type AS name, count(*) AS n FROM part GROUP BY p_type HAVING count(*) > 1",
-    # what the templates hold, counted by hand: see PYTHON, GO and TYPESCRIPT
+    # what the templates hold, counted by hand: see PYTHON, GO, TYPESCRIPT and RUST
     **{
         name: f"""WITH b AS (SELECT *, greatest(1, p_size % 7)::BIGINT AS n FROM part)
-SELECT 'f_' || p_partkey AS file, 'C' || p_partkey || '.m' AS function, {m_line}::BIGINT AS start_line, {m_end}::BIGINT AS end_line, {m}::BIGINT AS complexity, p_brand AS crate_name FROM b
+SELECT 'f_' || p_partkey AS file, 'C' || p_partkey || '{sep}m' AS function, {m_line}::BIGINT AS start_line, {m_end}::BIGINT AS end_line, {m}::BIGINT AS complexity, p_brand AS crate_name FROM b
 UNION ALL SELECT 'f_' || p_partkey, 'f' || p_partkey, {f_start}::BIGINT, {f_end} + 2 * n, {f}, p_brand FROM b"""
-        for name, m_line, m_end, m, f_start, f_end, f in (
-            ("scan_python", 2, 3, 2, 5, 6, "1 + 3 * n"), ("scan_python_cognitive", 2, 3, 0, 5, 6, "2 * n"), ("scan_go", 3, 3, 2, 5, 7, "1 + 3 * n"), ("scan_go_cognitive", 3, 3, 1, 5, 7, "2 * n"),
-            ("scan_typescript", 1, 1, 2, 3, 5, "1 + 3 * n"), ("scan_typescript_cognitive", 1, 1, 0, 3, 5, "2 * n"),
+        for name, m_line, m_end, m, f_start, f_end, f, sep in (
+            ("scan_python", 2, 3, 2, 5, 6, "1 + 3 * n", "."), ("scan_python_cognitive", 2, 3, 0, 5, 6, "2 * n", "."), ("scan_go", 3, 3, 2, 5, 7, "1 + 3 * n", "."), ("scan_go_cognitive", 3, 3, 1, 5, 7, "2 * n", "."),
+            ("scan_rust", 1, 1, 2, 3, 5, "1 + 3 * n", "::"), ("scan_rust_cognitive", 1, 1, 1, 3, 5, "2 * n", "::"),
+            ("scan_typescript", 1, 1, 2, 3, 5, "1 + 3 * n", "."), ("scan_typescript_cognitive", 1, 1, 0, 3, 5, "2 * n", "."),
         )
     },
 }

@@ -5,6 +5,7 @@ Manifests are small and few, so all of this is driver code; only the files found
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 import re
@@ -15,7 +16,7 @@ from dataclasses import dataclass, field
 
 from hazmeter.model import ResolveError
 from hazmeter.operators.filters import glob_regex, normalise_glob
-from hazmeter.sources.functions import SKIPPED
+from hazmeter.sources.functions import MANIFEST, SKIPPED
 
 
 @dataclass(frozen=True)
@@ -270,6 +271,72 @@ def cargo_packages(metadata: str) -> list[Package]:
     return unique(out)
 
 
+def _manifest(folder: str) -> dict:
+    try:
+        return tomllib.loads(_read(os.path.join(folder, "Cargo.toml")))
+    except tomllib.TOMLDecodeError as err:
+        raise ResolveError(f"{folder}/Cargo.toml: {err}") from err
+
+
+def _dependencies(doc: dict) -> list[tuple[str, dict]]:
+    tables = [doc, *doc.get("target", {}).values()]
+    return [(name, d) for t in tables for kind in ("dependencies", "dev-dependencies", "build-dependencies") for name, d in t.get(kind, {}).items() if isinstance(d, dict)]
+
+
+def _cargo_package(folder: str, doc: dict) -> Package:
+    """The package with its features; an optional dependency is one too unless a feature names it with ``dep:``."""
+    features = {k: list(v) for k, v in doc.get("features", {}).items()}
+    named = {x for v in features.values() for x in v if x.startswith("dep:")}
+    for name, d in _dependencies(doc):
+        if d.get("optional") and f"dep:{name}" not in named:
+            features.setdefault(name, [f"dep:{name}"])
+    return Package(doc["package"]["name"], folder, features)
+
+
+def cargo_workspace(path: str) -> tuple[str, list[Package]]:
+    """Root and members of the workspace around ``path``, read from the manifests; no toolchain is asked.
+
+    Members are those listed and the path dependencies below the root. A package in no workspace is its own.
+    """
+    path = os.path.realpath(path)
+    own, root = _manifest(path), path
+    while "workspace" not in (doc := _manifest(root) if os.path.isfile(os.path.join(root, "Cargo.toml")) else {}):
+        if os.path.dirname(root) == root:
+            root, doc = path, own
+            break
+        root = os.path.dirname(root)
+    space = doc.get("workspace", {})
+    has_manifest = lambda d: os.path.isfile(os.path.join(d, "Cargo.toml"))
+    gone = {os.path.realpath(os.path.join(root, e)) for e in space.get("exclude", [])}
+    todo = [root] if "package" in doc else []
+    for pattern in space.get("members", []):
+        hits = glob.glob(os.path.join(root, pattern))
+        if not hits:
+            raise ResolveError(f"{root}: workspace member `{pattern}` matches nothing")
+        todo += filter(has_manifest, hits)
+    docs: dict[str, dict] = {}
+    while todo:
+        folder = os.path.realpath(todo.pop())
+        if folder in docs or folder in gone or not folder.startswith(root):
+            continue
+        docs[folder] = _manifest(folder)
+        todo += [f for _, d in _dependencies(docs[folder]) if "path" in d and has_manifest(f := os.path.join(folder, d["path"]))]
+    if path not in docs and path != root:
+        root, docs = path, {path: own}
+    return root, unique([_cargo_package(f, docs[f]) for f in sorted(docs, key=lambda f: f.split(os.sep)) if "package" in docs[f]])
+
+
+def cargo_targets_at(path: str) -> list[Package]:
+    """All members at the root of a workspace, one at a member's own folder."""
+    root, packages = cargo_workspace(path)
+    if os.path.realpath(path) == root:
+        return packages
+    here = [p for p in packages if p.root == os.path.realpath(path)]
+    if not here:
+        raise ResolveError(f"{path} is neither the root of a workspace nor of a package")
+    return here
+
+
 def feature_seeds(package: Package | None, features: Iterable[str] = (), all_features: bool = False, default: bool = True) -> list[str]:
     """What switches features on before the closure."""
     if package is None:
@@ -292,25 +359,38 @@ def enabled_features(package: Package | None, features: Iterable[str] = (), all_
     return sorted(seen)
 
 
-PACKAGES = {"go": go_packages, "python": python_packages, "typescript": npm_packages}
-MANIFESTS = {"go": "go.mod", "python": "pyproject.toml", "typescript": "package.json"}
+PACKAGES = {"go": go_packages, "python": python_packages, "typescript": npm_packages, "rust": lambda path: cargo_workspace(path)[1]}
+
+
+@dataclass(frozen=True)
+class FeatureFlags:
+    """Which Cargo features a run takes as enabled."""
+
+    features: tuple[str, ...] = ()
+    all_features: bool = False
+    default: bool = True
+
+    def of(self, package: Package | None) -> tuple[str, ...]:
+        return tuple(enabled_features(package, self.features, self.all_features, self.default))
 
 
-def targets(path: str, language: str, workspace: bool = False, names: Iterable[str] = ()) -> list[Target]:
+def targets(path: str, language: str, workspace: bool = False, names: Iterable[str] = (), flags: FeatureFlags = FeatureFlags()) -> list[Target]:
     """What to walk: the selected packages, else what the manifest at ``path`` stands for, else the bare path.
 
-    At a Go module that is every package of it, at a Python or npm project that one alone.
+    At a Go module or a Cargo workspace that is every package of it, at a Python or npm project that one alone.
     """
     names = list(names)
-    manifest = os.path.isfile(os.path.join(path, MANIFESTS[language]))
+    manifest = os.path.isfile(os.path.join(path, MANIFEST[language]))
     if not (workspace or names or manifest):
-        return [Target(path)]
-    if language != "go" and not workspace and not names:
+        return [Target(path, features=flags.of(None) if language == "rust" else ())]
+    if language == "rust" and not workspace and not names:
+        chosen = cargo_targets_at(path)
+    elif language != "go" and not workspace and not names:
         chosen = [(_py_package if language == "python" else _npm_package)(path)[0]]
     else:
         found = PACKAGES[language](path)
         if not found:
             raise ResolveError(f"{path}: no {language} package")
         chosen = select(found, names) if names else found
-    keyed = language != "go"
-    return [Target(p.root, p.name, join_key(p.root, path) if keyed else None, nested_roots(p, chosen)) for p in chosen]
+    keyed = language in ("python", "typescript")
+    return [Target(p.root, p.name, join_key(p.root, path) if keyed else None, nested_roots(p, chosen), flags.of(p) if language == "rust" else ()) for p in chosen]

@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 
 from hazmeter.model import CollectError
 from hazmeter.operators.filters import skip_go_file
-from hazmeter.sources import scan_go, scan_python, scan_typescript
+from hazmeter.sources import scan_go, scan_python, scan_rust, scan_typescript
 
-SCANNERS: dict[str, Callable] = {"python": scan_python.analyse, "go": scan_go.analyse, "typescript": scan_typescript.analyse}
-SUFFIXES = {"python": (".py",), "go": (".go",), "typescript": (".ts", ".tsx")}
-NAMES = {"python": "Python", "go": "Go", "typescript": "TypeScript"}
+SCANNERS: dict[str, Callable] = {"python": scan_python.analyse, "go": scan_go.analyse, "typescript": scan_typescript.analyse, "rust": scan_rust.analyse}
+SUFFIXES = {"python": (".py",), "go": (".go",), "typescript": (".ts", ".tsx"), "rust": (".rs",)}
+NAMES = {"python": "Python", "go": "Go", "typescript": "TypeScript", "rust": "Rust"}
 # Folders that a walk does not enter, and the manifest that makes a nested folder a project of its own.
-SKIPPED = {"python": frozenset(".venv venv __pycache__ .git dist build .tox htmlcov coverage .eggs".split()), "go": frozenset("vendor .git testdata".split()), "typescript": frozenset("node_modules .git dist build coverage".split())}
-MANIFEST = {"python": "pyproject.toml", "go": "go.mod", "typescript": "package.json"}
+SKIPPED = {"python": frozenset(".venv venv __pycache__ .git dist build .tox htmlcov coverage .eggs".split()), "go": frozenset("vendor .git testdata".split()), "typescript": frozenset("node_modules .git dist build coverage".split()), "rust": frozenset("target .git".split())}
+MANIFEST = {"python": "pyproject.toml", "go": "go.mod", "typescript": "package.json", "rust": "Cargo.toml"}
+# Folders beside a Cargo manifest that hold no code of the package itself.
+BESIDE_MANIFEST = frozenset("tests benches examples".split())
 #: Names that are no source of the language.
-LEFT_OUT = {"python": "\0", "go": "_test.go", "typescript": ".d.ts"}
+LEFT_OUT = {"python": "\0", "go": "_test.go", "typescript": ".d.ts", "rust": "_tests.rs"}
 #: Functions of one file that ``seq`` has room for.
 ROOM = 1 << 20
 
@@ -30,17 +32,18 @@ SHAPE = "seq long, file string, function string, start_line long, end_line long,
 def scan(sources: DataFrame, language: str, metric: str = "cyclomatic", tags: Iterable[str] = (), goos: str = "linux") -> DataFrame:
     """Functions of (seq, file, content, crate_name, join_key), and a row with ``error`` for each broken file.
 
-    Files must be UTF-8. A Go file whose build constraint does not hold gives no row. Offsets within a file follow
-    ``seq`` in its order.
+    Files must be UTF-8. A Go file whose build constraint does not hold gives no row. A column ``features`` (array)
+    names what Rust's conditions find enabled; without it nothing is. Offsets within a file follow ``seq`` in its order.
     """
     analyse, tags = SCANNERS[language], tuple(tags)
 
-    def rows(seq, file, content, crate, key):
+    def rows(seq, file, content, crate, key, features):
         try:
             text = content.decode("utf-8")
             if language == "go" and skip_go_file(text, tags, goos):
                 return
-            for n, (name, lo, hi, complexity) in enumerate(analyse(text, metric)):
+            found = analyse(text, metric, features or ()) if language == "rust" else analyse(text, metric)
+            for n, (name, lo, hi, complexity) in enumerate(found):
                 yield seq * ROOM + n, file, name, lo, hi, complexity, crate, key, None
         except (UnicodeDecodeError, ValueError) as err:
             yield seq * ROOM, file, None, None, None, None, crate, key, f"skipping {file}: {err}"
@@ -52,7 +55,8 @@ def scan(sources: DataFrame, language: str, metric: str = "cyclomatic", tags: It
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[s.split()[0] for s in SHAPE.split(", ")])
 
-    return sources.select("seq", "file", "content", "crate_name", "join_key").mapInArrow(run, SHAPE)
+    features = F.col("features") if "features" in sources.columns else F.lit(None).cast("array<string>").alias("features")
+    return sources.select("seq", "file", "content", "crate_name", "join_key", features).mapInArrow(run, SHAPE)
 
 
 def checked(found: DataFrame, files: int, language: str) -> DataFrame:
@@ -75,7 +79,9 @@ def walk(root: str, language: str, skip: Iterable[str] = ()) -> list[str]:
         name = os.path.basename(folder)
         if here in seen or here in skip or not (here == real or here.startswith(real.rstrip("/") + "/")):
             return
-        nested = os.path.isfile(os.path.join(folder, MANIFEST[language]))
+        nested = language != "rust" and os.path.isfile(os.path.join(folder, MANIFEST[language]))
+        if language == "rust" and not top and name in BESIDE_MANIFEST and os.path.isfile(os.path.join(os.path.dirname(folder), "Cargo.toml")):
+            return
         if not top and (name in SKIPPED[language] or (language == "python" and name.endswith(".egg-info")) or nested):
             return
         seen.add(here)
@@ -83,7 +89,7 @@ def walk(root: str, language: str, skip: Iterable[str] = ()) -> list[str]:
             target = os.path.realpath(entry.path)
             if entry.is_dir():
                 visit(entry.path, False)
-            elif entry.is_file() and entry.name.endswith(SUFFIXES[language]) and not entry.name.endswith(LEFT_OUT[language]) and target not in seen and target.startswith(real.rstrip("/") + "/"):
+            elif entry.is_file() and entry.name.endswith(SUFFIXES[language]) and not entry.name.endswith(LEFT_OUT[language]) and not (language == "rust" and entry.name == "tests.rs") and target not in seen and target.startswith(real.rstrip("/") + "/"):
                 seen.add(target)
                 out.append(entry.path)
 
@@ -91,8 +97,8 @@ def walk(root: str, language: str, skip: Iterable[str] = ()) -> list[str]:
     return sorted(out, key=lambda p: [x for x in p.split("/")])
 
 
-def load(spark: SparkSession, files: list[str], crate_name: str | None = None, join_key: str | None = None, first: int = 0) -> DataFrame:
-    """(seq, file, content, crate_name, join_key): paths are dealt out and read on the executors."""
+def load(spark: SparkSession, files: list[str], crate_name: str | None = None, join_key: str | None = None, first: int = 0, features: Iterable[str] = ()) -> DataFrame:
+    """(seq, file, content, crate_name, join_key, features): paths are dealt out and read on the executors."""
     listed = spark.createDataFrame([(first + n, f, crate_name, join_key) for n, f in enumerate(files)], "seq long, file string, crate_name string, join_key string")
 
     def run(batches):
@@ -103,4 +109,5 @@ def load(spark: SparkSession, files: list[str], crate_name: str | None = None, j
                     content.append(h.read())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(content, pa.binary()), b.column(2), b.column(3)], names=["seq", "file", "content", "crate_name", "join_key"])
 
-    return listed.repartition(max(1, min(len(files), 200))).mapInArrow(run, "seq long, file string, content binary, crate_name string, join_key string")
+    read = listed.repartition(max(1, min(len(files), 200))).mapInArrow(run, "seq long, file string, content binary, crate_name string, join_key string")
+    return read.withColumn("features", F.array(*map(F.lit, features)).cast("array<string>"))

@@ -67,3 +67,25 @@ def test_nested_and_keys(tmp_path):
     ps = [d.Package("a", "/w"), d.Package("b", "/w/b"), d.Package("c", "/wx")]
     assert d.nested_roots(ps[0], ps) == ("/w/b",) and d.nested_roots(ps[2], ps) == ()
     assert d.join_key(str(tmp_path / "x" / "y"), str(tmp_path)) == "x/y"
+
+
+def test_cargo_manifests(tmp_path):
+    root = tree(
+        tmp_path,
+        {
+            "Cargo.toml": '[workspace]\nmembers = ["crates/*"]\nexclude = ["crates/old"]\n',
+            "crates/a/Cargo.toml": '[package]\nname = "a"\n[features]\ndefault = ["x"]\nx = ["dep:opt"]\n[dependencies]\nopt = { version = "1", optional = true }\nsoft = { version = "1", optional = true }\nb = { path = "../../more/b" }\n',
+            "crates/a/src/lib.rs": "", "crates/a/src/tests.rs": "", "crates/a/src/mytests.rs": "", "crates/a/src/x_tests.rs": "", "crates/a/tests/t.rs": "", "crates/a/src/tests/in.rs": "", "crates/a/target/t.rs": "",
+            "crates/old/Cargo.toml": '[package]\nname = "old"\n', "more/b/Cargo.toml": '[package]\nname = "b"\n', "more/b/b.rs": "",
+        },
+    )
+    found = d.targets(root, "rust")
+    assert [(t.crate_name, t.features, t.join_key) for t in found] == [("a", ("x",), None), ("b", (), None)]
+    assert [os.path.relpath(f, found[0].root) for f in walk(found[0].root, "rust")] == ["src/lib.rs", "src/mytests.rs", "src/tests/in.rs"]
+    flags = d.FeatureFlags(("y",), default=False)
+    assert [t.features for t in d.targets(root + "/crates/a", "rust", flags=flags)] == [("y",)]
+    assert d.FeatureFlags(all_features=True).of(d.cargo_workspace(root)[1][0]) == ("soft", "x")
+    assert [t.crate_name for t in d.targets(root, "rust", names=["b"])] == ["b"]
+    assert d.targets(root + "/more", "rust", flags=flags) == [d.Target(root + "/more", features=("y",))]
+    with pytest.raises(ResolveError):
+        d.targets(root, "rust", names=["old"])
