@@ -24,6 +24,8 @@ FIT_ROWS = 40_000
 UNKNOWN = "und"
 #: Code points handled at once.
 PIECE = 1 << 18
+#: Rows of a batch whose texts are Python strings at once.
+ROWS = 512
 _MIX = np.uint32(2654435761)
 
 
@@ -195,15 +197,24 @@ def learn(docs: DataFrame) -> Model:
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` without those whose language cannot be told: no letters, or no language reaches ``least``.
 
-    If nothing is labelled there is nothing to learn from and every document stays.
+    If nothing is labelled there is nothing to learn from and every document stays. Rows pass through whole and are
+    only filtered, so each text crosses to Python once.
     """
     model = learn(docs)
     if not model.langs:
         return docs
-    names = [f"__c{i}" for i in range(len(docs.columns))]
-    renamed = docs.toDF(*names)
-    text = names[docs.columns.index("text")]
-    return predict(renamed, model, text, tuple(names)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*names).toDF(*docs.columns)
+    held, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for i in range(0, b.num_rows, ROWS):
+                lang, p = score(held.value, b.column(place).slice(i, ROWS).to_pylist())
+                keep += [x != UNKNOWN and s >= least for x, s in zip(lang, p.tolist())]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return inner.mapInArrow(run, inner.schema).toDF(*docs.columns)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
