@@ -24,7 +24,7 @@ FIT_ROWS = 40_000
 UNKNOWN = "und"
 #: Code points handled at once.
 PIECE = 1 << 18
-#: Rows of a batch whose texts are Python strings at once.
+#: Rows of a batch that are worked on at once.
 ROWS = 512
 _MIX = np.uint32(2654435761)
 
@@ -207,11 +207,10 @@ def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            keep = []
-            for i in range(0, b.num_rows, ROWS):
-                lang, p = score(held.value, b.column(place).slice(i, ROWS).to_pylist())
-                keep += [x != UNKNOWN and s >= least for x, s in zip(lang, p.tolist())]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            for i in range(0, b.num_rows, ROWS):  # small pieces back too: the JVM holds each one off its heap
+                part = b.slice(i, ROWS)
+                lang, p = score(held.value, part.column(place).to_pylist())
+                yield part.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, p.tolist())], pa.bool_()))
 
     inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     return inner.mapInArrow(run, inner.schema).toDF(*docs.columns)
