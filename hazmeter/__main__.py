@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from hazmeter import __version__
 from hazmeter.model import Format, HazardError, Metric, Missing, ScanRequest, parse_threshold
 from hazmeter.sources.functions import SCANNERS
 
@@ -20,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--fail-above", action="store_true")
     p.add_argument("--missing", type=Missing, choices=list(Missing), default=Missing.PESSIMISTIC)
     p.add_argument("--format", type=Format, choices=list(Format), default=Format.TEXT)
+    p.add_argument("-V", "--version", action="store_true", help="print the version")
     p.add_argument("--tags", default="", help="Go build tags")
     p.add_argument("--features", action="append", default=[], help="Cargo features, comma-separated")
     p.add_argument("--all-features", action="store_true")
@@ -31,7 +33,15 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> int:
-    a = parser().parse_args(argv)
+    given = sys.argv[1:] if argv is None else argv
+    # help and version win over everything else that is given, right or wrong
+    if {"-h", "--help"} & set(given):
+        parser().print_help()
+        return 0
+    if {"-V", "--version"} & set(given):
+        print(f"hazmeter {__version__}")
+        return 0
+    a = parser().parse_args(given)
     if a.summary and a.format is Format.JSON:
         print("--summary cannot be used with --format json", file=sys.stderr)
         return 2

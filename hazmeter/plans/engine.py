@@ -32,6 +32,8 @@ def collect(spark: SparkSession, request: ScanRequest, language: str, tags: Iter
         files = functions.walk(t.root, language, t.skip)
         one = functions.load(spark, files, t.crate_name, t.join_key, n, t.features)
         sources, n = one if sources is None else sources.unionByName(one), n + len(files)
+    if sources is None:
+        sources = functions.load(spark, [])
     return functions.checked(functions.scan(sources, language, request.metric.value, tags).cache(), n, language)
 
 
@@ -47,8 +49,10 @@ def run(spark: SparkSession, request: ScanRequest, language: str, tags: Iterable
 
 
 def write(scored: DataFrame, request: ScanRequest, language: str, out=None) -> None:
-    """The report in the format asked for, a piece at a time."""
+    """The report in the format asked for, a piece at a time; a warning of ambiguous joins goes to standard error."""
     out = out or sys.stdout
+    if warning := report.ambiguous_warning(scored.where("coverage_join = 'ambiguous'").count()):
+        print(warning, file=sys.stderr)
     if request.format is Format.JSON:
         for piece in report.document(scored, request.limit, request.metric, language, request.fail_above):
             out.write(piece)

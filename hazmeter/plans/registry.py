@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hazmeter.functions import paths, score
 from hazmeter.operators import filters, resolve, spans, summary
 from hazmeter.plans.derived import SQL_FUNCTIONS, SQL_LINES, SQL_SCORED, functions, hit_rows, path_pairs, table
-from hazmeter.sources import coverprofile, lcov
+from hazmeter.sources import coverprofile, lcov, table_function
 from hazmeter.sources import functions as source_functions
 
 THRESHOLD = 15.0
@@ -141,6 +141,13 @@ def _scan(spark: SparkSession, sf_dir: str, language: str, template: str, branch
     return found.select("file", "function", "start_line", "end_line", "complexity", "crate_name")
 
 
+def scan_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table_function.register_sql(spark)
+    text = F.regexp_replace("text", "@B[0-9]+", GO_BRANCH.replace("@S", "9"))
+    src = _sources(spark, sf_dir, GO).select("file", "crate_name", text.alias("content"))
+    return spark.sql("SELECT file, function, start_line, end_line, complexity, crate_name FROM {src}, LATERAL scan_source(content, 'go', 'cyclomatic') WHERE error IS NULL", src=src)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "end_to_end": end_to_end,
     "lcov_parse": lcov_parse,
@@ -165,6 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_typescript": lambda s, d: _scan(s, d, "typescript", TYPESCRIPT, TYPESCRIPT_BRANCH, "cyclomatic"),
     "scan_typescript_cognitive": lambda s, d: _scan(s, d, "typescript", TYPESCRIPT, TYPESCRIPT_BRANCH, "cognitive"),
     "scan_go": lambda s, d: _scan(s, d, "go", GO, GO_BRANCH, "cyclomatic"),
+    "scan_table_function": scan_table_function,
     "scan_rust": lambda s, d: _scan(s, d, "rust", RUST, RUST_BRANCH, "cyclomatic"),
     "scan_rust_cognitive": lambda s, d: _scan(s, d, "rust", RUST, RUST_BRANCH, "cognitive"),
     "scan_go_cognitive": lambda s, d: _scan(s, d, "go", GO, GO_BRANCH, "cognitive"),
@@ -233,6 +241,7 @@ SELECT 'f_' || p_partkey AS file, 'C' || p_partkey || '{sep}m' AS function, {m_l
 UNION ALL SELECT 'f_' || p_partkey, 'f' || p_partkey, {f_start}::BIGINT, {f_end} + 2 * n, {f}, p_brand FROM b"""
         for name, m_line, m_end, m, f_start, f_end, f, sep in (
             ("scan_python", 2, 3, 2, 5, 6, "1 + 3 * n", "."), ("scan_python_cognitive", 2, 3, 0, 5, 6, "2 * n", "."), ("scan_go", 3, 3, 2, 5, 7, "1 + 3 * n", "."), ("scan_go_cognitive", 3, 3, 1, 5, 7, "2 * n", "."),
+            ("scan_table_function", 3, 3, 2, 5, 7, "1 + 3 * n", "."),
             ("scan_rust", 1, 1, 2, 3, 5, "1 + 3 * n", "::"), ("scan_rust_cognitive", 1, 1, 1, 3, 5, "2 * n", "::"),
             ("scan_typescript", 1, 1, 2, 3, 5, "1 + 3 * n", "."), ("scan_typescript_cognitive", 1, 1, 0, 3, 5, "2 * n", "."),
         )

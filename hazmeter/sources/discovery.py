@@ -380,6 +380,10 @@ def targets(path: str, language: str, workspace: bool = False, names: Iterable[s
     At a Go module or a Cargo workspace that is every package of it, at a Python or npm project that one alone.
     """
     names = list(names)
+    if language not in (*PACKAGES, "rust"):
+        if workspace or names:
+            raise ResolveError(f"{language} has no packages")
+        return [Target(path)]
     manifest = os.path.isfile(os.path.join(path, MANIFEST[language]))
     if not (workspace or names or manifest):
         return [Target(path, features=flags.of(None) if language == "rust" else ())]

@@ -79,7 +79,7 @@ def walk(root: str, language: str, skip: Iterable[str] = ()) -> list[str]:
         name = os.path.basename(folder)
         if here in seen or here in skip or not (here == real or here.startswith(real.rstrip("/") + "/")):
             return
-        nested = language != "rust" and os.path.isfile(os.path.join(folder, MANIFEST[language]))
+        nested = language != "rust" and bool(MANIFEST[language]) and os.path.isfile(os.path.join(folder, MANIFEST[language]))
         if language == "rust" and not top and name in BESIDE_MANIFEST and os.path.isfile(os.path.join(os.path.dirname(folder), "Cargo.toml")):
             return
         if not top and (name in SKIPPED[language] or (language == "python" and name.endswith(".egg-info")) or nested):
