@@ -12,13 +12,13 @@ from bisect import bisect_right
 from collections.abc import Iterable
 
 _TOKEN = re.compile(
-    r"(?P<skip>\s+|//[^\n]*)|(?P<comment>/\*)"
+    r"(?:\s+|//[^\n]*)*+(?:(?P<comment>/\*)"
     r"|(?P<raw>(?:br|cr|r)(?P<hash>#*)\")"
     r"|(?P<text>[bc]?\"(?:\\[\s\S]|[^\\\"])*\"|b?'(?:\\(?:x[0-9A-Fa-f]{2}|u\{[^}]*\}|[\s\S])|[^\\'\n])')"
     r"|(?P<life>'(?:r#)?[^\W\d]\w*)|(?P<word>(?:r#)?[^\W\d]\w*)"
     r"|(?P<number>[0-9](?:[eE][+-][0-9]|[0-9A-Za-z_]|\.(?=[0-9]))*)"
     r"|(?P<mark>\.\.\.|\.\.=|<<=|>>=|\.\.|&&|\|\||=>|->|::|[=!<>+*/%^&|-]=|[^\s\"'])"
-    r"|(?P<open>[\s\S])"
+    r"|(?P<open>[\s\S])|(?P<end>\Z))"
 )
 _COMMENT = re.compile(r"/\*|\*/")
 _CLOSER = {"(": ")", "[": "]", "{": "}"}
@@ -44,8 +44,9 @@ class Source:
         while at < len(src):
             m = _TOKEN.match(src, at)
             kind, at = m.lastgroup if m.lastgroup != "hash" else "raw", m.end()
-            if kind == "skip":
-                continue
+            if kind == "end":
+                break
+            start = m.start(kind)
             if kind == "comment":
                 depth = 1
                 while depth:
@@ -61,7 +62,7 @@ class Source:
                 if end < 0:
                     raise ValueError("unclosed string")
                 at = end + 1 + len(m["hash"])
-            i, word = len(self.text), m[0]
+            i, word = len(self.text), m[kind]
             if kind == "mark":
                 if word in _CLOSER:
                     stack.append(i)
@@ -69,11 +70,9 @@ class Source:
                     if not stack or _CLOSER[self.text[stack[-1]]] != word:
                         raise ValueError("unbalanced braces")
                     self.close[stack.pop()] = i
-            self.text.append(word if kind in ("word", "mark", "life") else '"')
+            self.text.append(word if kind in ("word", "mark", "life") else src[start:at])
             self.kind.append(kind)
-            self.line.append(bisect_right(starts, m.start()))
-            if kind in ("text", "raw", "number"):
-                self.text[-1] = src[m.start() : at]
+            self.line.append(bisect_right(starts, start))
         if stack:
             raise ValueError("unbalanced braces")
         self.size = len(self.text)
