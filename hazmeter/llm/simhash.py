@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, documents, stage
+from .near_copies import drop_near_copies  # noqa: F401  the pipeline's near stage joins on similarity itself
 
 RADIUS = 3
 SHINGLE = 3
@@ -235,12 +236,5 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return fp.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: the one whose id names the group. Rows without an id stay."""
-    groups = simhash_groups(docs, id_col, text_col)
-    drop = stage(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")), "near-copies")
-    return docs.join(drop, F.col(id_col) == F.col("__id"), "left_anti")
-
-
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
