@@ -1,7 +1,8 @@
 """Substring deduplication over sliding sentence spans.
 
-Texts are cut into sentences; a sentence without end marks for long is cut behind words that their hash picks, so
-that equal passages are cut alike wherever they begin. A span is a run of several consecutive sentences, just long
+Texts are cut into sentences, and sentences behind the word of the least hash of each ``WINDOW`` consecutive words.
+Such a cut depends on fewer than ``WINDOW`` words before and behind it, and one comes every ``WINDOW`` words at least:
+equal passages are cut alike but for ``WINDOW`` - 1 words at their ends, so any 49 shared words hold a span. A span is a run of several consecutive sentences, just long
 enough to hold ``words`` words, begun at each sentence and ended at each one. All spans of all documents are hashed
 and sorted together; every span that is not the first of its hash is a repeat, and the sentences it covers go.
 First is the smallest document id, then the place in the document.
@@ -22,8 +23,8 @@ from .common import documents, name_runs, stage
 
 SENTENCES = 2
 WORDS = 20
-#: Sentences of more words are cut further.
-LONG = 24
+#: Of so many consecutive words of a sentence one is cut behind; 4 * WINDOW + WORDS - 3 shared words hold a span.
+WINDOW = 8
 
 _END = re.compile(r"[.!?]+\s+|\s*\n\s*")
 
@@ -34,21 +35,36 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     at = 0
     for stop in [*[(m.start() + len(m[0].rstrip()), m.end()) for m in _END.finditer(text)], (len(text), len(text))]:
         words = text[at : stop[0]].lower().split()
-        if len(words) > LONG:
-            begin, n = at, 0
-            for m in re.finditer(r"\S+", text[at : stop[0]]):
-                n += 1
-                if n >= 4 and zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) % 8 == 0:
-                    out.append((begin, at + m.end(), text[begin : at + m.end()].lower().split()))
-                    begin, n = at + m.end() + 1, 0
-            if text[begin : stop[0]].strip():
-                out.append((begin, stop[0], text[begin : stop[0]].lower().split()))
+        if len(words) >= WINDOW:
+            found = list(re.finditer(r"\S+", text[at : stop[0]]))
+            h = [zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) for m in found]
+            begin = first = 0
+            for k in [*_picks(h), len(found) - 1]:
+                if k >= first:
+                    part = text[at + begin : at + found[k].end()]
+                    out.append((at + begin, at + found[k].end() if k + 1 < len(found) else stop[0], part.lower().split()))
+                    first = k + 1
+                    begin = found[first].start() if first < len(found) else 0
         elif words:
             out.append((at, stop[0], words))
         at = stop[1]
     return out
 
 
+def _picks(h: list[int]) -> list[int]:
+    """Places of the least hash of each window, the last of equals."""
+    out, best = [], -1
+    for end in range(WINDOW - 1, len(h)):
+        if best <= end - WINDOW:
+            best = min(range(end - WINDOW + 1, end + 1), key=lambda i: (h[i], -i))
+        elif h[end] <= h[best]:
+            best = end
+        else:
+            continue
+        out.append(best)
+    return out
+
+
 def spans(text: str | None, least: int = SENTENCES, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first sentence, last sentence) of every span of one text."""
     none = np.zeros(0, dtype=np.int64)

@@ -343,3 +343,16 @@ def test_near_copies(spark):
     assert all((got[i] == got[j]) == (root[i] == root[j]) for i, j in pairs)
     kept = simhash.drop_near_copies(table(spark, enumerate(texts))).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(root.tolist()))
+
+
+def test_shared_passages():
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}" + ("." if rng.random() < mark else "")
+    for mark in (0, 0.05, 0.15):
+        for _ in range(400):
+            passage = [word() for _ in range(51)]
+            hashes = []
+            for _ in range(2):
+                text = " ".join([*(word() for _ in range(rng.randrange(80))), "edge", *passage, "edge", *(word() for _ in range(rng.randrange(80)))])
+                hashes.append(set(span_dedup.spans(text)[0].tolist()))
+            assert hashes[0] & hashes[1]
