@@ -1,92 +1,166 @@
 """Substring deduplication over sliding sentence spans.
 
-Texts are cut into sentences, and sentences behind the word of the least hash of each ``WINDOW`` consecutive words.
-Such a cut depends on fewer than ``WINDOW`` words before and behind it, and one comes every ``WINDOW`` words at least:
-equal passages are cut alike but for ``WINDOW`` - 1 words at their ends, so any 49 shared words hold a span. A span is a run of several consecutive sentences, just long
-enough to hold ``words`` words, begun at each sentence and ended at each one. All spans of all documents are hashed
-and sorted together; every span that is not the first of its hash is a repeat, and the sentences it covers go.
-First is the smallest document id, then the place in the document.
+A sentence ends with a word that ends in a full stop, question or exclamation mark, or before a line break, once it
+has ``SHORT`` words; shorter ones (initials, list numbers, cries) go on with what follows. Every run of ``RUN``
+consecutive sentences is hashed and all runs of all documents are sorted together; every run that is not the first
+of its text is a repeat, and the sentences that it covers go. A longer repeated run consists of runs of ``RUN``
+sentences that are repeats themselves, so hashing these removes just what hashing the runs of every greater length
+would, with as many rows as there are sentences.
+
+A passage may be quoted from the middle of a sentence, and a sentence without an end mark may be as long as its
+text. So stretches of ``STRETCH`` words are hashed as well, begun where the hash of three words is the least of
+``WINDOW`` consecutive ones. Such a choice depends on nearby words alone: any ``WINDOW + STRETCH - 1`` = 50 words that
+two documents share hold a stretch of both. A repeated stretch goes word for word.
+
+Words are what ASCII blanks separate, compared with A-Z in lower case; a run's text is its words joined by single
+blanks. A digest of 128 bits stands for it, which among 10^13 runs lets two different texts agree with a chance of
+about 10^-13. First is the smallest document id, then the place in the document.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, name_runs, stage
-
-SENTENCES = 2
-WORDS = 20
-#: Of so many consecutive words of a sentence one is cut behind; 4 * WINDOW + WORDS - 3 shared words hold a span.
-WINDOW = 8
-
-_END = re.compile(r"[.!?]+\s+|\s*\n\s*")
-
-
-def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of each sentence, in code points, blanks between sentences left out."""
+from .common import documents, drop_staged, name_runs, stage, utf8
+
+#: Sentences of a run: "several". With two, chance meetings and page furniture of two short sentences would go too.
+RUN = 3
+#: Words of a sentence at least.
+SHORT = 4
+#: Words of a stretch, and places of which one begins a stretch.
+STRETCH, WINDOW = 24, 27
+#: Bytes worked on at once.
+PIECE = 1 << 22
+
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_MARK = np.zeros(256, dtype=bool)
+_MARK[list(b".!?")] = True
+_CLOSE = np.zeros(256, dtype=bool)
+_CLOSE[list(b"\"')]}")] = True
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x5851F42D4C957F2D
+_TOP = np.uint64(2**64 - 1)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
     out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(n, base, dtype=np.uint64)
+        p[:1] = 1
+        out.append(np.cumprod(p))
+    return out[0], out[1]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * _MIX
+    return h ^ (h >> np.uint64(32))
+
+
+def _words(a: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, document) of each word of ``a``; documents lie between consecutive ``edges``."""
+    word = ~_BLANK[a]
+    before, behind = np.r_[False, word[:-1]], np.r_[word[1:], False]
+    inner = edges[(edges > 0) & (edges < len(a))]
+    before[inner], behind[inner - 1] = False, False
+    start, end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~behind) + 1
+    return start, end, np.searchsorted(edges, start, "right") - 1
+
+
+def _cuts(a: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Index of the last word of each sentence."""
+    n = len(start)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    tail = a[end - 1]
+    mark = _MARK[tail] | _CLOSE[tail] & (end - start > 1) & _MARK[a[np.maximum(end - 2, 0)]]
+    lines = np.cumsum(a == 10)
+    mark[:-1] |= lines[start[1:]] > lines[end[:-1] - 1]
+    last = np.r_[doc[1:] != doc[:-1], True]
+    out, begin = [], 0
+    for k, final in zip(np.flatnonzero(mark | last).tolist(), last[mark | last].tolist()):
+        if final or k - begin >= SHORT - 1:
+            out.append(k)
+            begin = k + 1
+    return np.array(out, dtype=np.int64)
+
+
+def _least(v: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` consecutive values, by doubling."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        v = np.minimum(v[:-step], v[step:])
+        have += step
+    return v
+
+
+def _stretches(a: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Index of the first word of each stretch."""
+    n = len(start)
+    if n < STRETCH:
+        return np.zeros(0, dtype=np.int64)
+    up, down = _powers(len(a) + 1)
+    total = np.r_[np.uint64(0), np.cumsum((_FOLD[a].astype(np.uint64) + np.uint64(1)) * up[:-1])]
+    h = _mixed((total[end] - total[start]) * down[start])
+    three = _mixed(_mixed(h[:-2] * _MIX + h[1:-1]) * _MIX + h[2:])
+    # each document's values stand apart from the others' by places that are never the least
+    inside = np.flatnonzero(doc[2:] == doc[:-2])
+    first = np.searchsorted(doc, np.arange(int(doc[-1]) + 2))
+    at = inside - first[doc[inside]] + (first + np.arange(len(first)) * WINDOW)[doc[inside]] + WINDOW
+    v = np.full(int(at[-1]) + WINDOW + 1 if len(at) else 0, _TOP)
+    if not len(at):
+        return np.zeros(0, dtype=np.int64)
+    v[at] = three[inside] >> np.uint64(1)
+    least = _least(v, WINDOW)
+    reach = ~_least(~least, WINDOW)  # the greatest of the windows that hold a place
+    picked = inside[reach[at - WINDOW + 1] == v[at]]
+    picked = picked[picked + STRETCH <= n]
+    return picked[doc[picked + STRETCH - 1] == doc[picked]]
+
+
+def spans(a: np.ndarray, edges: np.ndarray, run: int = RUN) -> tuple[np.ndarray, ...]:
+    """(document, digest high, digest low, start, end) of each run and stretch; places are bytes of ``a``."""
+    start, end, doc = _words(a, edges)
+    last = _cuts(a, start, end, doc)
+    head = np.r_[0, last[:-1] + 1] if len(last) else last
+    k = len(last) - run + 1
+    same = np.flatnonzero(doc[head[:k]] == doc[last[run - 1 :]]) if k > 0 else np.zeros(0, dtype=np.int64)
+    long = _stretches(a, start, end, doc)
+    first, final = np.r_[head[same], long], np.r_[last[same + run - 1] if k > 0 else same, long + STRETCH - 1]
+    first, final = np.divmod(np.unique(first * (len(start) + 1) + final), len(start) + 1)  # a run may be a stretch
+    # the words in lower case, joined by single blanks
+    blank = _BLANK[a]
+    keep = ~blank
+    keep[1:] |= ~blank[:-1]
+    norm = _FOLD[a]
+    norm[blank] = 32
+    place = np.r_[0, np.cumsum(keep)]
+    view = memoryview(norm[keep].tobytes())
+    digest = xxhash.xxh3_128_digest
+    raw = b"".join([digest(view[x:y]) for x, y in zip(place[start[first]].tolist(), place[end[final]].tolist())])
+    both = np.frombuffer(raw, dtype=">i8").reshape(-1, 2).astype(np.int64)
+    return doc[first], both[:, 0], both[:, 1], start[first], end[final]
+
+
+def _pieces(offsets: np.ndarray):
+    """Ranges of rows of about PIECE bytes each."""
     at = 0
-    for stop in [*[(m.start() + len(m[0].rstrip()), m.end()) for m in _END.finditer(text)], (len(text), len(text))]:
-        words = text[at : stop[0]].lower().split()
-        if len(words) >= WINDOW:
-            found = list(re.finditer(r"\S+", text[at : stop[0]]))
-            h = [zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) for m in found]
-            begin = first = 0
-            for k in [*_picks(h), len(found) - 1]:
-                if k >= first:
-                    part = text[at + begin : at + found[k].end()]
-                    out.append((at + begin, at + found[k].end() if k + 1 < len(found) else stop[0], part.lower().split()))
-                    first = k + 1
-                    begin = found[first].start() if first < len(found) else 0
-        elif words:
-            out.append((at, stop[0], words))
-        at = stop[1]
-    return out
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
+        yield at, to
+        at = to
 
 
-def _picks(h: list[int]) -> list[int]:
-    """Places of the least hash of each window, the last of equals."""
-    out, best = [], -1
-    for end in range(WINDOW - 1, len(h)):
-        if best <= end - WINDOW:
-            best = min(range(end - WINDOW + 1, end + 1), key=lambda i: (h[i], -i))
-        elif h[end] <= h[best]:
-            best = end
-        else:
-            continue
-        out.append(best)
-    return out
-
-
-def spans(text: str | None, least: int = SENTENCES, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first sentence, last sentence) of every span of one text."""
-    none = np.zeros(0, dtype=np.int64)
-    cut = sentences(text) if text else []
-    if len(cut) < least:
-        return none, none, none
-    h = xxhash.xxh64_intdigest
-    own = np.array([h(" ".join(w).encode("utf-8", "surrogatepass")) for _, _, w in cut], dtype=np.uint64)
-    n = len(own)
-    total = np.r_[0, np.cumsum([len(w) for _, _, w in cut])]
-    i = np.arange(n)
-    last = np.maximum(np.searchsorted(total, total[:-1] + words, "left") - 1, i + least - 1)  # begun at each sentence
-    first = np.minimum(np.searchsorted(total, total[1:] - words, "right") - 1, i - least + 1)  # ended at each sentence
-    a, b = np.r_[i[last < n], first[first >= 0]], np.r_[last[last < n], i[first >= 0]]
-    key = np.unique(a * n + b)
-    a, b = key // n, key % n
-    raw = own.tobytes()
-    return np.array([h(raw[8 * x : 8 * y + 8]) for x, y in zip(a.tolist(), b.tolist())], dtype=np.uint64).view(np.int64), a, b
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """(doc_id, th, spans): for each document with repeats, the sentence runs [first, last] to take out.
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+    """(doc_id, th, spans): for each document with repeats, the byte ranges (start, end) to take out, unmerged.
 
     Rows that repeat both id and text count once; ``th`` tells texts of one id apart and is null where ids are unique.
     """
@@ -94,61 +168,81 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
     if twice:
         rows = rows.dropDuplicates()
-    rows = rows.select("doc_id", (F.xxhash64("text") if twice else F.lit(None).cast("long")).alias("th"), "text")
+    rows = rows.select("doc_id", (F.sha2("text", 256) if twice else F.lit(None).cast("string")).alias("th"), "text")
 
-    def run(batches):
+    def cut(batches):
         for b in batches:
-            got = [spans(t, least, words) for t in b.column(2).to_pylist()]
-            own = pa.array(np.repeat(np.arange(len(got)), [len(g[0]) for g in got]))
-            h, i, j = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(3))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array(h), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32))], names=["doc_id", "th", "h", "i", "j"])
+            data, offsets = utf8(b.column(2))
+            for at, to in _pieces(offsets):
+                base = offsets[at]
+                doc, high, low, x, y = spans(data[base : offsets[to]], offsets[at : to + 1] - base, run)
+                own = pa.array(doc + at)
+                begin = offsets[at:to][doc] - base
+                yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array(high), pa.array(low), pa.array((x - begin).astype(np.int32)), pa.array((y - begin).astype(np.int32))], names=["doc_id", "th", "h", "g", "x", "y"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = stage(rows.mapInArrow(run, f"doc_id {kind}, th long, h long, i int, j int"), "spans")
-    order = ["doc_id", "th", "i", "j"] if twice else ["doc_id", "i", "j"]
-    again = name_runs(found, "h", ["h"], order, "repeats", repeats_only=True).where("not is_first")
-    return stage(again.groupBy("doc_id", "th").agg(F.collect_list(F.struct("i", "j")).alias("spans")), "repeated")
+    found = stage(rows.mapInArrow(cut, f"doc_id {kind}, th string, h long, g long, x int, y int"), "spans")
+    order = ["doc_id", "th", "x", "y"] if twice else ["doc_id", "x", "y"]
+    again = name_runs(found, "h", ["h", "g"], order, "repeats", repeats_only=True).where("not is_first")
+    out = stage(again.groupBy("doc_id", "th").agg(F.collect_list(F.struct("x", "y")).alias("spans")), "repeated")
+    drop_staged(found)
+    return out
+
+
+def _merged(spans_: list[dict]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for x, y in sorted((s["x"], s["y"]) for s in spans_):
+        if out and x <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], y)
+        else:
+            out.append([x, y])
+    return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_sentences, n_removed, removed (array of start, end), clean_text.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_removed, removed (array of start, end), clean_text.
 
-    Null and empty texts have no sentence and stay empty. Offsets are code points of the whole text.
+    ``n_removed`` counts the code points taken out, ``removed`` are their places in the whole text, the end exclusive.
+    Null and empty texts have no sentence and give an empty text. Rows that repeat id and text are one document and
+    come out alike; of equal texts with several ids the one with the smallest stays whole. A null id is the first of
+    all. An empty table gives an empty result; columns beside id and text are ignored, whatever their names.
     """
-    out = repeated_spans(docs, id_col, text_col, least, words).toDF("__id", "__th", "spans")
+    out = repeated_spans(docs, id_col, text_col, run).toDF("other", "th", "spans")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th").isNull() | (F.xxhash64("text") == F.col("__th")))
+    same = F.col("doc_id").eqNullSafe(F.col("other")) & (F.col("th").isNull() | (F.sha2("text", 256) == F.col("th")))
     joined = rows.join(out, same, "left").select("doc_id", "text", "spans")
 
-    def run(batches):
+    def cut(batches):
+        pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            cols = [[] for _ in range(4)]
-            for text, gone in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                cut = sentences(text)
-                cover = np.zeros(len(cut) + 1, dtype=np.int64)
-                for s in gone or ():
-                    cover[s["i"]] += 1
-                    cover[s["j"] + 1] -= 1
-                on = np.cumsum(cover)[:-1] > 0
-                removed, kept, at = [], [], 0
-                for k in np.flatnonzero(on).tolist():
-                    if k and on[k - 1]:
-                        removed[-1][1] = cut[k][1]
-                    else:
-                        removed.append([cut[k][0], cut[k][1]])
-                        kept.append(text[at : cut[k][0]])
-                    at = cut[k + 1][0] if k + 1 < len(cut) else len(text)
-                kept.append(text[at:])
-                for c, x in zip(cols, (len(cut), int(on.sum()), [{"start": x, "end": y} for x, y in removed], "".join(kept))):
-                    c.append(x)
-            pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pair), pa.array(cols[3], pa.string())], names=["doc_id", "n_sentences", "n_removed", "removed", "clean_text"])
+            counts, places, texts = [], [], []
+            for text, gone in zip(b.column(1), b.column(2).to_pylist()):
+                if not gone:
+                    counts.append(0)
+                    places.append([])
+                    texts.append(text.as_py())
+                    continue
+                raw, at, chars, n, kept, here = text.as_buffer().to_pybytes(), 0, 0, 0, [], []
+                for x, y in _merged(gone):
+                    kept.append(raw[at:x])
+                    chars += len(raw[at:x].decode())
+                    size = len(raw[x:y].decode())
+                    here.append({"start": chars, "end": chars + size})
+                    n, chars, at = n + size, chars + size, y
+                    if not kept[-1] or kept[-1][-1:].isspace():  # one of the two gaps goes too
+                        bare = len(raw) - len(raw[at:].lstrip(b" \t\n\v\f\r")) if raw[at : at + 1].isspace() else at
+                        chars, at = chars + bare - at, bare
+                kept.append(raw[at:])
+                counts.append(n)
+                places.append(here)
+                texts.append(b"".join(kept).decode())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(places, pair), pa.array(texts, pa.string())], names=["doc_id", "n_removed", "removed", "clean_text"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, n_sentences long, n_removed long, removed array<struct<start:bigint,end:bigint>>, clean_text string")
+    return joined.mapInArrow(cut, f"doc_id {kind}, n_removed long, removed array<struct<start:bigint,end:bigint>>, clean_text string")
 
 
 def op2_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(documents(spark, sf_dir))
     joined = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
-    return out.select("doc_id", "n_sentences", "n_removed", joined.alias("removed"), F.length("clean_text").cast("long").alias("clean_chars"), F.sha2("clean_text", 256).alias("clean_sha256"))
+    return out.select("doc_id", "n_removed", joined.alias("removed"), F.length("clean_text").cast("long").alias("clean_chars"), F.sha2("clean_text", 256).alias("clean_sha256"))

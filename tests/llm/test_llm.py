@@ -10,30 +10,11 @@ import duckdb
 import numpy as np
 import pytest
 
-from hazmeter.llm import common, decontaminate, exact_dedup, kd_shards, language_id, license_scan, near_copies, packing, pii, registry, secret_scan, simhash, span_dedup
-
-SF = "/root/testdata/sf0.001"
-SHAPE = "doc_id long, text string, lang string, source string, n_chars long, base string, name string, size long, rank long"
-LONG = " ".join(f"w{i * 7919 % 30011}" for i in range(30_000)) + "."
-
-
-def table(spark, rows):
-    return spark.createDataFrame([(i, t, None, None, None, "b", "n", 1, 2) for i, t in rows], SHAPE)
-
-
-@pytest.fixture(scope="module")
-def odd(spark):
-    rng = random.Random(3)
-    words = [w for w in "the of and to in that it was for on are as with his they at be this from have or by one had not but".split()]
-    texts = [" ".join(rng.choice(words) + str(rng.randrange(30)) for _ in range(n)) + "." for n in (40, 60, 80, 100)]
-    rows = [(1, None), (2, ""), (3, " \t\n"), (4, texts[0]), (5, texts[0]), (6, texts[0] + " x"), (7, texts[1]), (7, texts[1]), (7, texts[2]), (None, texts[3]), (None, None), (8, LONG), (9, LONG), (10, "Ünïcode 𝔘 text é"), (11, "one two")]
-    return rows, table(spark, rows).cache()
+from hazmeter.llm import common, decontaminate, exact_dedup, kd_shards, language_id, license_scan, near_copies, packing, pii, registry, secret_scan, simhash
 
+from .conftest import table
 
-@pytest.fixture(scope="module")
-def empty(spark):
-    return table(spark, [(1, "x")]).limit(0)
-
+SF = "/root/testdata/sf0.001"
 
 def test_exact_dedup(spark, odd, empty):
     rows, df = odd
@@ -253,27 +234,6 @@ def test_private(spark, odd, empty):
     assert pii.base_spans("1" * 200_000 + "a" * 200_000 + "@") == []  # linear time
 
 
-def test_span_dedup(spark, odd, empty):
-    docs = {r.doc_id: r.text for r in common.documents(spark, SF).collect()}
-    passage = " ".join(f"alpha{i}" for i in range(60))  # no end mark at all
-    docs |= {100_000: "Start here. " + passage + " end", 100_001: "Other words first " + passage + " and more. Last one."}
-    got = {r.doc_id: r for r in span_dedup.remove_repeats(table(spark, docs.items())).collect()}
-    seen, cover = set(), collections.defaultdict(set)
-    for i in sorted(docs):
-        h, a, b = span_dedup.spans(docs[i])
-        for x, y, z in zip(h.tolist(), a.tolist(), b.tolist()):
-            if x in seen:
-                cover[i].update(range(y, z + 1))
-            seen.add(x)
-    assert all(got[i].n_removed == len(cover[i]) for i in docs)
-    assert got[100_000].n_removed == 0 and sum(f"alpha{i}" in got[100_001].clean_text for i in range(60)) < 30
-    rows, df = odd
-    out = span_dedup.remove_repeats(df).collect()
-    assert len(out) == len(rows) and all(r.clean_text == "" for r in out if r.doc_id in (1, 2))
-    assert {r.doc_id: r.n_removed > 0 for r in out if r.doc_id in (8, 9)} == {8: False, 9: True}
-    assert span_dedup.remove_repeats(empty).count() == 0
-
-
 def test_licences(spark, odd, empty):
     text = "Intro\n\nReleased under the MIT License.\nYou need a driving license now.\nLicensed under the Apache License, Version 2.0.\nMIT!! DER!!"
     r = license_scan.scan(table(spark, [(1, text)])).first()
@@ -344,15 +304,3 @@ def test_near_copies(spark):
     kept = simhash.drop_near_copies(table(spark, enumerate(texts))).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(root.tolist()))
 
-
-def test_shared_passages():
-    rng = random.Random(5)
-    word = lambda: f"w{rng.randrange(10**6)}" + ("." if rng.random() < mark else "")
-    for mark in (0, 0.05, 0.15):
-        for _ in range(400):
-            passage = [word() for _ in range(51)]
-            hashes = []
-            for _ in range(2):
-                text = " ".join([*(word() for _ in range(rng.randrange(80))), "edge", *passage, "edge", *(word() for _ in range(rng.randrange(80)))])
-                hashes.append(set(span_dedup.spans(text)[0].tolist()))
-            assert hashes[0] & hashes[1]
