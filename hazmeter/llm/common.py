@@ -57,14 +57,6 @@ def drop_staged(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a column of texts without nulls, as one array, and where each text begins and the last one ends."""
-    wide = pa.types.is_large_string(column.type)
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data or b"", dtype=np.uint8), at.astype(np.int64)
-
-
 def name_runs(df: DataFrame, route: str, keys: list[str], order: list[str], label: str, repeats_only: bool = False) -> DataFrame:
     """Give equal keys one integer name by sorting, without gathering any key in one task.
 

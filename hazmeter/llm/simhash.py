@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, documents, stage
-from .near_copies import drop_near_copies  # noqa: F401  the pipeline's near stage joins on similarity itself
 
 RADIUS = 3
 SHINGLE = 3

@@ -25,7 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop_staged, name_runs, stage, utf8
+from .common import documents, drop_staged, name_runs, stage
+from .words import BLANK, FOLD, MIX, hashes, mixed, pieces, words
 
 #: Sentences of a run: "several". With two, chance meetings and page furniture of two short sentences would go too.
 RUN = 3
@@ -33,47 +34,13 @@ RUN = 3
 SHORT = 4
 #: Words of a stretch, and places of which one begins a stretch.
 STRETCH, WINDOW = 24, 27
-#: Bytes worked on at once.
-PIECE = 1 << 22
-
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
 _MARK = np.zeros(256, dtype=bool)
 _MARK[list(b".!?")] = True
 _CLOSE = np.zeros(256, dtype=bool)
 _CLOSE[list(b"\"')]}")] = True
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0x5851F42D4C957F2D
 _TOP = np.uint64(2**64 - 1)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(n, base, dtype=np.uint64)
-        p[:1] = 1
-        out.append(np.cumprod(p))
-    return out[0], out[1]
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(29))) * _MIX
-    return h ^ (h >> np.uint64(32))
-
-
-def _words(a: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, document) of each word of ``a``; documents lie between consecutive ``edges``."""
-    word = ~_BLANK[a]
-    before, behind = np.r_[False, word[:-1]], np.r_[word[1:], False]
-    inner = edges[(edges > 0) & (edges < len(a))]
-    before[inner], behind[inner - 1] = False, False
-    start, end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~behind) + 1
-    return start, end, np.searchsorted(edges, start, "right") - 1
-
-
 def _cuts(a: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Index of the last word of each sentence."""
     n = len(start)
@@ -107,10 +74,8 @@ def _stretches(a: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarra
     n = len(start)
     if n < STRETCH:
         return np.zeros(0, dtype=np.int64)
-    up, down = _powers(len(a) + 1)
-    total = np.r_[np.uint64(0), np.cumsum((_FOLD[a].astype(np.uint64) + np.uint64(1)) * up[:-1])]
-    h = _mixed((total[end] - total[start]) * down[start])
-    three = _mixed(_mixed(h[:-2] * _MIX + h[1:-1]) * _MIX + h[2:])
+    h = hashes(a, start, end)
+    three = mixed(mixed(h[:-2] * MIX + h[1:-1]) * MIX + h[2:])
     # each document's values stand apart from the others' by places that are never the least
     inside = np.flatnonzero(doc[2:] == doc[:-2])
     first = np.searchsorted(doc, np.arange(int(doc[-1]) + 2))
@@ -128,7 +93,7 @@ def _stretches(a: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarra
 
 def spans(a: np.ndarray, edges: np.ndarray, run: int = RUN) -> tuple[np.ndarray, ...]:
     """(document, digest high, digest low, start, end) of each run and stretch; places are bytes of ``a``."""
-    start, end, doc = _words(a, edges)
+    start, end, doc = words(a, edges)
     last = _cuts(a, start, end, doc)
     head = np.r_[0, last[:-1] + 1] if len(last) else last
     k = len(last) - run + 1
@@ -137,10 +102,10 @@ def spans(a: np.ndarray, edges: np.ndarray, run: int = RUN) -> tuple[np.ndarray,
     first, final = np.r_[head[same], long], np.r_[last[same + run - 1] if k > 0 else same, long + STRETCH - 1]
     first, final = np.divmod(np.unique(first * (len(start) + 1) + final), len(start) + 1)  # a run may be a stretch
     # the words in lower case, joined by single blanks
-    blank = _BLANK[a]
+    blank = BLANK[a]
     keep = ~blank
     keep[1:] |= ~blank[:-1]
-    norm = _FOLD[a]
+    norm = FOLD[a]
     norm[blank] = 32
     place = np.r_[0, np.cumsum(keep)]
     view = memoryview(norm[keep].tobytes())
@@ -150,15 +115,6 @@ def spans(a: np.ndarray, edges: np.ndarray, run: int = RUN) -> tuple[np.ndarray,
     return doc[first], both[:, 0], both[:, 1], start[first], end[final]
 
 
-def _pieces(offsets: np.ndarray):
-    """Ranges of rows of about PIECE bytes each."""
-    at = 0
-    while at < len(offsets) - 1:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
-        yield at, to
-        at = to
-
-
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
     """(doc_id, th, spans): for each document with repeats, the byte ranges (start, end) to take out, unmerged.
 
@@ -172,12 +128,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(batches):
         for b in batches:
-            data, offsets = utf8(b.column(2))
-            for at, to in _pieces(offsets):
-                base = offsets[at]
-                doc, high, low, x, y = spans(data[base : offsets[to]], offsets[at : to + 1] - base, run)
-                own = pa.array(doc + at)
-                begin = offsets[at:to][doc] - base
+            for at, _, data, edges in pieces(b.column(2)):
+                doc, high, low, x, y = spans(data, edges, run)
+                own, begin = pa.array(doc + at), edges[doc]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array(high), pa.array(low), pa.array((x - begin).astype(np.int32)), pa.array((y - begin).astype(np.int32))], names=["doc_id", "th", "h", "g", "x", "y"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from hazmeter.llm import common, decontaminate, exact_dedup, kd_shards, language_id, license_scan, near_copies, packing, pii, registry, secret_scan, simhash
+from hazmeter.llm import common, decontaminate, exact_dedup, kd_shards, language_id, license_scan, packing, pii, registry, secret_scan, simhash
 
 from .conftest import table
 
@@ -51,7 +51,6 @@ def test_simhash(spark, odd, empty):
     assert collections.Counter((r.doc_id, r.fp, r.component_id) for r in simhash.simhash_groups(df).collect()) == want
     assert simhash.fingerprint("A b\tC") == simhash.fingerprint("a B c") and simhash.fingerprint(" ") == 0 == simhash.fingerprint(None)
     assert simhash.simhash_groups(empty).count() == 0
-    assert simhash.drop_near_copies(df).columns == df.columns
 
 
 def test_simhash_index(spark):
@@ -275,32 +274,3 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         df = stage(spark, df, SF)
         assert df.columns == common.documents(spark, SF).columns
-
-
-def word_shingles(text):
-    w = (text or "").encode().lower().split()
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-
-
-def test_near_copies(spark):
-    rng = random.Random(11)
-    line = " ".join(f"common{i}" for i in range(12))
-    texts = [None, "", "one two", "One  two"]
-    for n in (40, 90, 150, 400):
-        base = [f"w{rng.randrange(3000)}" for _ in range(n)]
-        for edits in (1, 2, 3, 4, 6, 9) * (6 if n == 150 else 1):
-            copy = list(base)
-            for at in rng.sample(range(n), edits):
-                copy[at] = f"x{rng.randrange(10**6)}"
-            texts.append(" ".join(copy))
-    texts += [line + " " + " ".join(f"w{rng.randrange(3000)}" for _ in range(60)) for _ in range(30)]
-    sets = [word_shingles(t) for t in texts]
-    like = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
-    root = simhash._roots(len(sets), *np.array(like).T)
-    assert len(like) > 50 and len(set(root.tolist())) > 35
-    got = {r.doc_id: r.comp for r in near_copies.near_groups(table(spark, enumerate(texts))).collect()}
-    pairs = [(i, j) for i in range(len(sets)) for j in range(i)]
-    assert all((got[i] == got[j]) == (root[i] == root[j]) for i, j in pairs)
-    kept = simhash.drop_near_copies(table(spark, enumerate(texts))).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(set(root.tolist()))
-

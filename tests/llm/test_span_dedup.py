@@ -71,7 +71,7 @@ def stretches_of(text):
     """Stretches chosen by the operator's own choice of places, hashed and cut by this file."""
     raw = text.encode()
     a = np.frombuffer(raw, dtype=np.uint8)
-    start, end, doc = span_dedup._words(a, np.array([0, len(a)]))
+    start, end, doc = span_dedup.words(a, np.array([0, len(a)]))
     for k in span_dedup._stretches(a, start, end, doc).tolist():
         x, y = len(raw[: start[k]].decode()), len(raw[: end[k + 23]].decode())
         yield x, y, tuple(fold(w) for w in re.split(f"[{BLANKS}]+", text[x:y]))
