@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from pathlib import Path
 
 from hazmeter import __version__
 from hazmeter.model import Format, HazardError, Metric, Missing, ScanRequest, parse_threshold
@@ -26,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--features", action="append", default=[], help="Cargo features, comma-separated")
     p.add_argument("--all-features", action="store_true")
     p.add_argument("--no-default-features", action="store_true")
+    p.add_argument("--cargo-metadata", help="file with the output of `cargo metadata --format-version 1 --no-deps`, read in place of the manifests")
     chosen = p.add_mutually_exclusive_group()
     chosen.add_argument("--workspace", action="store_true")
     chosen.add_argument("-p", "--package", action="append", default=[])
@@ -43,9 +45,14 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     a = parser().parse_args(given)
     if a.summary and a.format is Format.JSON:
-        print("--summary cannot be used with --format json", file=sys.stderr)
+        print("--summary conflicts with --format json", file=sys.stderr)
         return 2
-    request = ScanRequest(a.path, a.coverage or ("cover.out" if a.language == "go" else "lcov.info"), a.metric, a.threshold, a.summary, a.fail_above, a.missing, a.format)
+    try:
+        metadata = Path(a.cargo_metadata).read_text(encoding="utf-8") if a.cargo_metadata else None
+    except (OSError, UnicodeDecodeError) as err:
+        print(f"error: {err}", file=sys.stderr)
+        return 2
+    request = ScanRequest(a.path, a.coverage or ("cover.out" if a.language == "go" else "lcov.info"), a.metric, a.threshold, a.summary, a.fail_above, a.missing, a.format, metadata)
     from pyspark.errors import PySparkException
     from pyspark.sql import SparkSession
 

@@ -73,6 +73,8 @@ class ScanRequest:
     fail_above: bool = False
     missing: Missing = Missing.PESSIMISTIC
     format: Format = Format.TEXT
+    #: Output of ``cargo metadata`` in place of the manifests.
+    metadata: str | None = None
 
     @property
     def limit(self) -> float:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,22 +46,35 @@ def matches_any(path: Column, patterns: Iterable[str]) -> Column:
     return hit & ~out
 
 
-def close_features(edges: DataFrame, seeds: DataFrame, depth: int = 64) -> DataFrame:
-    """(feature): what the seeds switch on, directly or not. ``edges``: feature, enables; ``seeds``: feature.
+def close_features(edges: DataFrame, seeds: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, feature): what the seeds switch on, directly or not. ``edges``: *by, feature, enables; ``seeds``: *by, feature.
 
-    ``dep:`` entries and names with a slash switch on no feature of the package. Each round follows one edge from
-    what is new, so cycles end.
+    ``dep:`` entries and names with a slash switch on no feature of the package. ``by`` names the columns that tell
+    packages apart; each is closed by itself, so one task holds one package's manifest at a time. Cycles end.
     """
-    real = lambda c: ~F.col(c).startswith("dep:") & ~F.col(c).contains("/")
-    edges = edges.where(real("enables"))
-    known = fresh = {r.feature for r in seeds.where(real("feature")).select("feature").distinct().collect()}
-    for _ in range(depth):
-        # a manifest's features: names, not data
-        fresh = {r.enables for r in edges.where(F.col("feature").isin(sorted(fresh))).select("enables").distinct().collect()} - known
-        if not fresh:
-            break
-        known = known | fresh
-    return edges.sparkSession.createDataFrame([(f,) for f in sorted(known)], "feature string")
+    rows = edges.select(*by, "feature", "enables").unionByName(seeds.select(*by, F.lit(None).cast("string").alias("feature"), F.col("feature").alias("enables")))
+    rows = rows.where(~F.col("enables").startswith("dep:") & ~F.col("enables").contains("/"))
+    one = rows.groupBy(*by).agg(F.collect_set(F.struct("feature", "enables")).alias("pairs"))
+
+    def close(batches):
+        for b in batches:
+            at, out = [], []
+            for i, pairs in enumerate(b.column(len(by)).to_pylist()):
+                enables: dict[str | None, list[str]] = {}
+                for p in pairs:
+                    enables.setdefault(p["feature"], []).append(p["enables"])
+                known, todo = set(), list(enables.get(None, ()))
+                while todo:
+                    f = todo.pop()
+                    if f not in known:
+                        known.add(f)
+                        todo += enables.get(f, ())
+                at += [i] * len(known)
+                out += sorted(known)
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(at, pa.int64())) for c in b.columns[:-1]], pa.array(out, pa.string())], names=[*by, "feature"])
+
+    shape = ", ".join([*[f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in by], "feature string"])
+    return one.mapInArrow(close, shape)
 
 
 # Operating systems that satisfy the tag "unix".

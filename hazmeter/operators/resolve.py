@@ -11,20 +11,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazmeter.functions.paths import components, is_suffix_pair
+from hazmeter.sources.lcov import saturated
 
 ROOTS = ("src", "lib", "tests", "benches", "examples")
 
 
-def coverage_files(lines: DataFrame) -> DataFrame:
-    """(cov_key, cov_parts, base): the normalised keys of a coverage table; keys without a component go."""
-    keys = lines.select("path").distinct().select(components(F.col("path")).alias("cov_parts")).where(F.size("cov_parts") > 0)
-    return keys.distinct().select(F.array_join("cov_parts", "/").alias("cov_key"), "cov_parts", F.element_at("cov_parts", -1).alias("base"))
+def coverage_keys(lines: DataFrame) -> DataFrame:
+    """(path, cov_key, cov_parts): the normalised key of each distinct path of a coverage table; empty ones go."""
+    keys = lines.select("path").distinct().select("path", components(F.col("path")).alias("cov_parts")).where(F.size("cov_parts") > 0)
+    return keys.select("path", F.array_join("cov_parts", "/").alias("cov_key"), "cov_parts")
 
 
-def normalised(lines: DataFrame) -> DataFrame:
-    """Coverage lines by normalised key; files whose keys collide are merged."""
-    rows = lines.select(F.array_join(components(F.col("path")), "/").alias("cov_key"), "line", "hits").where("cov_key <> ''")
-    return rows.groupBy("cov_key", "line").agg(F.sum("hits").alias("hits"))
+def normalised(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """(cov_key, line, hits) of lines that are distinct by path and line; files whose keys collide are merged."""
+    rows = lines.join(keys.select(F.col("path").alias("p"), "cov_key"), F.col("path") == F.col("p")).select("cov_key", "line", "hits")
+    if keys.groupBy("cov_key").count().where("count > 1").isEmpty():
+        return rows
+    return rows.groupBy("cov_key", "line").agg(saturated(F.col("hits")).alias("hits"))
 
 
 def _candidates(parts: Column, package: Column) -> Column:
@@ -45,11 +48,15 @@ def _weak(key: Column, names: Column) -> Column:
     return F.when(F.size(names) > 0, F.array_contains(key, F.get(names, F.size(names) - 1))).otherwise(False)
 
 
-def resolve(sources: DataFrame, lines: DataFrame) -> DataFrame:
-    """(file, package, cov_key, status): once for each distinct source file and package; null cov_key if not found."""
+def resolve(sources: DataFrame, keys: DataFrame) -> DataFrame:
+    """(file, package, cov_key, status): once for each distinct source file and package; null cov_key if not found.
+
+    ``keys``: what :func:`coverage_keys` gives.
+    """
+    files = keys.select("cov_key", "cov_parts", F.element_at("cov_parts", -1).alias("base")).dropDuplicates(["cov_key"])
     src = sources.select("file", "package").distinct().withColumn("parts", components(F.col("file")))
     cand = src.select("file", "package", F.element_at(F.when(F.size("parts") > 0, F.col("parts")), -1).alias("base"), F.explode(_candidates(F.col("parts"), F.col("package"))).alias("cand"))
-    pairs = cand.join(coverage_files(lines), "base").where(is_suffix_pair(F.col("cand"), F.col("cov_parts")))
+    pairs = cand.join(files, "base").where(is_suffix_pair(F.col("cand"), F.col("cov_parts")))
     rank = F.struct((F.size("cov_parts") <= F.size("cand")).alias("ends"), F.least(F.size("cov_parts"), F.size("cand")).alias("len"), (F.col("cov_parts") == F.col("cand")).alias("exact"))
     names = F.filter(F.split(F.coalesce("package", F.lit("")), "/"), lambda p: p != "")
     hit = F.struct("cov_key", _strong(F.col("cov_parts"), names).alias("strong"), _weak(F.col("cov_parts"), names).alias("weak"))

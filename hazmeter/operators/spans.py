@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazmeter.functions import score
 from hazmeter.functions.paths import components, sort_key
 from hazmeter.model import Missing
-from hazmeter.operators.resolve import normalised, resolve
+from hazmeter.operators.resolve import coverage_keys, normalised, resolve
+from hazmeter.sources.lcov import saturated
+from hazmeter.staging import stage
 
 #: Lines in one bucket of the range join's second key.
 BUCKET = 256
@@ -39,26 +41,36 @@ def covered_lines(functions: DataFrame, lines: DataFrame) -> DataFrame:
     return inside.alias("a").join(inner.alias("b"), nested, "left_anti").select("fid", "line", "hits")
 
 
-def policy(join: Column, measured: Column, missing: Missing) -> Column:
-    other = F.lit({Missing.PESSIMISTIC: 0.0, Missing.OPTIMISTIC: 100.0}.get(missing))
-    return F.when(join == "measured", measured).otherwise(other)
-
-
-def score_functions(functions: DataFrame, lines: DataFrame, missing: Missing = Missing.PESSIMISTIC) -> DataFrame:
-    """The scored rows, in no order.
+def join_coverage(functions: DataFrame, lines: DataFrame) -> DataFrame:
+    """``functions`` with coverage_join and, where measured, coverage in per cent; no policy is applied yet.
 
     ``functions``: seq, file, function, start_line, end_line, complexity, crate_name, join_key; ``lines``: path, line,
-    hits. Paths are resolved once for each distinct file and package.
+    hits, lines of a path repeated or not. The coverage is read once: its lines, summed up, and the small map from files
+    to keys are staged, and every later step reads these.
     """
+    held = stage(lines.groupBy("path", "line").agg(saturated(F.col("hits")).alias("hits")), "lines")
     fs = functions.withColumn("fid", F.col("seq")).withColumn("package", F.coalesce("join_key", "crate_name"))
-    found = resolve(fs, lines).select(F.col("file").alias("f"), F.col("package").alias("p"), "cov_key", "status")
-    fs = fs.join(found, (F.col("file") == F.col("f")) & F.col("package").eqNullSafe(F.col("p"))).drop("f", "p").withColumn("peer", F.array_join(components(F.col("file")), "/"))
-    hits = covered_lines(fs, normalised(lines)).groupBy("fid").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("hits") > 0).alias("covered"))
+    keys = stage(coverage_keys(held), "keys")
+    peer = F.array_join(components(F.col("file")), "/").alias("peer")
+    found = stage(resolve(fs, keys).select(F.col("file").alias("f"), F.col("package").alias("p"), peer, "cov_key", "status"), "resolved")
+    fs = fs.join(found, (F.col("file") == F.col("f")) & F.col("package").eqNullSafe(F.col("p"))).drop("f", "p")
+    hits = covered_lines(fs, normalised(held, keys)).groupBy("fid").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("hits") > 0).alias("covered"))
     rows = fs.join(hits, "fid", "left")
     join = F.when(F.col("status") == "ambiguous", "ambiguous").when((F.col("status") == "found") & (F.col("total") > 0), "measured").otherwise("missing")
-    rows = rows.withColumn("coverage_join", join).withColumn("coverage", policy(F.col("coverage_join"), F.col("covered") / F.col("total") * 100.0, missing))
+    measured = F.when(join == "measured", F.col("covered") / F.col("total") * 100.0)
+    return rows.select("seq", "file", "function", "start_line", "end_line", "complexity", "crate_name", join.alias("coverage_join"), measured.alias("coverage"))
+
+
+def apply_policy(rows: DataFrame, missing: Missing) -> DataFrame:
+    """Coverage where none was measured, or no row: ``coverage`` is full afterwards."""
     if missing is Missing.SKIP:
-        rows = rows.where("coverage_join = 'measured'")
+        return rows.where("coverage_join = 'measured'")
+    return rows.withColumn("coverage", F.coalesce("coverage", F.lit(0.0 if missing is Missing.PESSIMISTIC else 100.0)))
+
+
+def score_functions(functions: DataFrame, lines: DataFrame, missing: Missing = Missing.PESSIMISTIC) -> DataFrame:
+    """The scored rows, in no order: :func:`join_coverage`, policy and score."""
+    rows = apply_policy(join_coverage(functions, lines), missing)
     return rows.select("seq", "file", "function", "start_line", "end_line", "complexity", "coverage", "coverage_join", score.crap(F.col("complexity"), F.col("coverage")).alias("crap"), "crate_name")
 
 

@@ -20,9 +20,11 @@ def hit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(_path(F.expr("l_partkey div 10")).alias("path"), (F.col("l_orderkey") % 400 + 1).alias("line"), hits.alias("hits"))
 
 
-def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions of the parts, and a function inside each larger one."""
-    p = table(spark, sf_dir, "part").select("p_partkey", _path(F.expr("p_partkey div 10")).alias("file"), ((F.col("p_partkey") % 10) * 40 + 1).alias("start"), F.col("p_size").cast("long").alias("size"), F.col("p_brand").alias("crate_name"))
+def functions(spark: SparkSession, sf_dir: str, lost: bool = False) -> DataFrame:
+    """Functions of the parts, and a function inside each larger one; with ``lost`` a third of the files has other names."""
+    path = _path(F.expr("p_partkey div 10"))
+    file = F.when(F.expr("p_partkey div 10 % 3 = 0"), F.replace(path, F.lit("/f_"), F.lit("/lost_"))).otherwise(path) if lost else path
+    p = table(spark, sf_dir, "part").select("p_partkey", file.alias("file"), ((F.col("p_partkey") % 10) * 40 + 1).alias("start"), F.col("p_size").cast("long").alias("size"), F.col("p_brand").alias("crate_name"))
     key = F.lit(None).cast("string").alias("join_key")
     outer = p.select((F.col("p_partkey") * 2).alias("seq"), "file", F.concat(F.lit("outer_"), "p_partkey").alias("function"), F.col("start").alias("start_line"), (F.col("start") + F.col("size")).alias("end_line"), F.col("size").alias("complexity"), "crate_name", key)
     inner = p.where("size >= 6").select((F.col("p_partkey") * 2 + 1).alias("seq"), "file", F.concat(F.lit("inner_"), "p_partkey").alias("function"), (F.col("start") + 1).alias("start_line"), F.expr("start + 1 + size div 3").alias("end_line"), F.expr("1 + size div 5").alias("complexity"), "crate_name", key)
@@ -42,6 +44,22 @@ def path_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return sources, lines
 
 
+def keyed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(functions, coverage lines) in which join keys decide between equal file names, or leave them ambiguous."""
+    s = F.col("s_suppkey")
+    unit = lambda k: F.concat(F.lit("u_"), F.col(k) % 3, F.lit(".rs"))
+    file = F.when(s % 7 == 0, F.concat(F.lit("x/../src/./"), unit("s_suppkey"))).when(s % 7 == 1, F.concat(F.lit("../src/"), unit("s_suppkey"))).otherwise(F.concat(F.lit("src/"), unit("s_suppkey")))
+    key = F.when(s % 4 == 0, F.concat(F.lit("ws/m_"), s % 5)).when(s % 4 == 2, F.concat(F.lit("m_"), (s + 1) % 5))
+    fs = table(spark, sf_dir, "supplier").select(
+        s.alias("seq"), file.alias("file"), F.concat(F.lit("fn_"), s).alias("function"), (s % 4 + 1).cast("long").alias("start_line"), (s % 4 + 1 + s % 9).cast("long").alias("end_line"), (s % 30 + 1).cast("long").alias("complexity"),
+        F.when(s % 11 != 0, F.concat(F.lit("m_"), s % 5)).alias("crate_name"), key.alias("join_key"),
+    )
+    n = F.col("n_nationkey")
+    path = F.when(n % 8 == 0, F.concat(F.lit("other/src/"), unit("n_nationkey"))).otherwise(F.concat(F.lit("./ws/m_"), n % 5, F.lit("/src/"), unit("n_nationkey")))
+    lines = table(spark, sf_dir, "nation").select(path.alias("path"), F.explode(F.sequence(F.lit(1).cast("long"), (n % 6 + 1).cast("long"))).alias("line"), ((n + F.lit(1)) % 2).cast("long").alias("hits"))
+    return fs, lines
+
+
 SQL_LINES = """
 hit_rows AS (SELECT 'pkg_' || (f % 7) || '/src/f_' || f || '.rs' AS path, l_orderkey % 400 + 1 AS line,
                     CASE WHEN l_returnflag = 'R' THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS hits

@@ -10,36 +10,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazmeter.functions import score
-from hazmeter.model import Format, ScanRequest
+from hazmeter.model import Format, ResolveError, ScanRequest
 from hazmeter.operators.spans import score_functions
 from hazmeter.plans import report
 from hazmeter.sources import coverprofile, discovery, functions, lcov
 from hazmeter.sources.discovery import FeatureFlags
+from hazmeter.staging import stage
 
 
 def coverage(spark: SparkSession, request: ScanRequest, language: str) -> DataFrame:
     if language != "go":
-        return lcov.read(spark, request.coverage)
-    modules = [(m.name, m.root) for m in discovery.modules_for_remap(request.path)]
+        return stage(lcov.read(spark, request.coverage), "coverage")
+    modules = [] if functions.is_remote(request.path) else [(m.name, m.root) for m in discovery.modules_for_remap(request.path)]
     table = spark.createDataFrame(modules, "module_path string, module_root string") if modules else None
     return coverprofile.read(spark, request.coverage, table)
 
 
 def collect(spark: SparkSession, request: ScanRequest, language: str, tags: Iterable[str] = (), workspace: bool = False, packages: Iterable[str] = (), flags: FeatureFlags = FeatureFlags()) -> DataFrame:
-    """Functions of every target, in order of targets and files; one broken file fails them all."""
+    """Functions of every target, in order of targets and files; one broken file fails them all.
+
+    A path in a store that is no local folder is one target without a package; its files are listed by Spark.
+    """
+    if functions.is_remote(request.path):
+        if workspace or list(packages):
+            raise ResolveError(f"{request.path}: packages are looked for in local folders only")
+        sources = functions.load_tree(spark, request.path, language, flags.of(None) if language == "rust" else ())
+        return functions.checked(stage(functions.scan(sources, language, request.metric.value, tags), "functions"), sources.count(), language)
     sources, n = None, 0
-    for t in discovery.targets(request.path, language, workspace, packages, flags):
+    for t in discovery.targets(request.path, language, workspace, packages, flags, request.metadata):
         files = functions.walk(t.root, language, t.skip)
         one = functions.load(spark, files, t.crate_name, t.join_key, n, t.features)
         sources, n = one if sources is None else sources.unionByName(one), n + len(files)
     if sources is None:
         sources = functions.load(spark, [])
-    return functions.checked(functions.scan(sources, language, request.metric.value, tags).cache(), n, language)
+    return functions.checked(stage(functions.scan(sources, language, request.metric.value, tags), "functions"), n, language)
 
 
 def run_with_coverage(spark: SparkSession, request: ScanRequest, language: str, lines: DataFrame, tags: Iterable[str] = (), workspace: bool = False, packages: Iterable[str] = (), flags: FeatureFlags = FeatureFlags()) -> tuple[DataFrame, bool]:
-    """(scored rows, whether the gate failed). Scored rows are cached: gate and report read them."""
-    scored = score_functions(collect(spark, request, language, tags, workspace, packages, flags), lines, request.missing).cache()
+    """(scored rows, whether the gate failed). Scored rows are staged: gate and report read them."""
+    scored = stage(score_functions(collect(spark, request, language, tags, workspace, packages, flags), lines, request.missing), "scored")
     failed = request.fail_above and not scored.where(score.exceeds(F.col("crap"), request.limit)).isEmpty()
     return scored, failed
 

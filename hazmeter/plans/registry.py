@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hazmeter.functions import paths, score
 from hazmeter.operators import filters, resolve, spans, summary
-from hazmeter.plans.derived import SQL_FUNCTIONS, SQL_LINES, SQL_SCORED, functions, hit_rows, path_pairs, table
+from hazmeter.plans.derived import SQL_FUNCTIONS, SQL_LINES, SQL_SCORED, functions, hit_rows, keyed, path_pairs, table
 from hazmeter.sources import coverprofile, lcov, table_function
 from hazmeter.sources import functions as source_functions
 
@@ -49,7 +49,8 @@ def import_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.resolve(*path_pairs(spark, sf_dir))
+    sources, lines = path_pairs(spark, sf_dir)
+    return resolve.resolve(sources, resolve.coverage_keys(lines))
 
 
 def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,11 +84,20 @@ def package_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for m in spans.Missing:
-        one = spans.score_functions(functions(spark, sf_dir), hit_rows(spark, sf_dir).where("line < 200"), m).groupBy("coverage_join").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("coverage"), 6).alias("coverage")).withColumn("policy", F.lit(m.value))
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = spans.join_coverage(functions(spark, sf_dir, lost=True), hit_rows(spark, sf_dir))
+    every = F.explode(F.array(*[F.struct(F.lit(m.value).alias("policy"), F.lit(v).alias("other")) for m, v in ((spans.Missing.PESSIMISTIC, 0.0), (spans.Missing.OPTIMISTIC, 100.0), (spans.Missing.SKIP, None))]))
+    rows = rows.select("coverage_join", "coverage", every.alias("p")).select("coverage_join", "p.policy", F.coalesce("coverage", "p.other").alias("coverage")).where("coverage IS NOT NULL")
+    return rows.groupBy("coverage_join", "policy").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("coverage"), 6).alias("coverage"))
+
+
+def join_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spans.apply_policy(spans.join_coverage(*keyed(spark, sf_dir)), spans.Missing.OPTIMISTIC)
+    return rows.select("seq", "file", "coverage_join", "coverage")
+
+
+def ambiguous_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = summary.summarise(spans.score_functions(*keyed(spark, sf_dir)), THRESHOLD)
+    return s.select("functions", "ambiguous", "exceeding", "gate_failed", "threshold_cleared")
 
 
 def output_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,6 +173,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_summary": run_summary,
     "package_rollup": package_rollup,
     "missing_policies": missing_policies,
+    "join_keys": join_keys,
+    "ambiguous_summary": ambiguous_summary,
     "output_order": output_order,
     "glob_filter": glob_filter,
     "feature_closure": feature_closure,
@@ -180,8 +192,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _RISK = "CASE WHEN isnan(crap) OR isinf(crap) THEN 'high' WHEN crap <= 8 THEN 'low' WHEN crap <= 15 THEN 'acceptable' WHEN crap <= 25 THEN 'moderate' ELSE 'high' END"
 _PROFILE = "WITH " + SQL_FUNCTIONS + ", b AS (SELECT file AS path, complexity % 3 AS hits, unnest(range(start_line, end_line + 1)) AS line FROM functions) SELECT path, line, CAST(CASE WHEN min(hits) = 0 THEN 0 ELSE {} END AS BIGINT) AS hits FROM b GROUP BY path, line"
+_FOUND = "'/src/f_' || (p_partkey // 10)"
+_LOST = "CASE WHEN p_partkey // 10 % 3 = 0 THEN '/src/lost_' ELSE '/src/f_' END || (p_partkey // 10)"
 _POLICY = """SELECT coverage_join, count(*) AS n, round(avg(coverage), 6) AS coverage, '{0}' AS policy FROM (SELECT coverage_join, CASE WHEN coverage_join = 'measured' THEN coverage ELSE {1} END AS coverage FROM scored) {2} GROUP BY coverage_join"""
 
+#: From src (file, package, parts, names) and keys (path, k) to pick (file, package, cov_key, seen).
+_RESOLVE = """cand AS (SELECT file, package, names, unnest(CASE WHEN len(parts) > 1 AND len(names) > 1 THEN [parts, list_concat(names, parts), list_concat([names[len(names)]], parts)]
+                                                  WHEN len(parts) > 1 AND len(names) = 1 THEN [parts, list_concat(names, parts)] ELSE [parts] END) AS c FROM src),
+hit AS (SELECT file, package, names, path, k, len(k) <= len(c) AS e, least(len(k), len(c)) AS n, k = c AS x FROM cand JOIN keys
+        ON list_slice(k, len(k) - least(len(k), len(c)) + 1, len(k)) = list_slice(c, len(c) - least(len(k), len(c)) + 1, len(c))),
+won AS (SELECT DISTINCT file, package, names, path, k FROM (SELECT *, rank() OVER (PARTITION BY file, package ORDER BY e DESC, n DESC, x DESC) AS r FROM hit) WHERE r = 1),
+named AS (SELECT *, CASE WHEN len(names) = 1 THEN len(list_filter(range(1, len(k)), lambda i: k[i] = names[1] AND k[i + 1] IN ('src', 'lib', 'tests', 'benches', 'examples'))) > 0
+                         WHEN len(names) > 1 THEN list_contains(k, names[len(names)]) ELSE false END AS strong,
+                 len(names) > 0 AND list_contains(k, names[len(names)]) AS weak FROM won),
+pick AS (SELECT file, package, CASE WHEN count(*) = 1 THEN any_value(path) WHEN count(*) FILTER (WHERE strong) = 1 THEN any_value(path) FILTER (WHERE strong)
+                                    WHEN count(*) FILTER (WHERE weak) = 1 THEN any_value(path) FILTER (WHERE weak) END AS cov_key, true AS seen FROM named GROUP BY file, package)"""
+_KEYED = """
+fs AS (SELECT s_suppkey AS seq, CASE s_suppkey % 7 WHEN 0 THEN 'x/../src/./u_' WHEN 1 THEN '../src/u_' ELSE 'src/u_' END || (s_suppkey % 3) || '.rs' AS file,
+              CASE s_suppkey % 7 WHEN 1 THEN ['..', 'src', 'u_' || (s_suppkey % 3) || '.rs'] ELSE ['src', 'u_' || (s_suppkey % 3) || '.rs'] END AS parts,
+              s_suppkey % 4 + 1 AS lo, s_suppkey % 4 + 1 + s_suppkey % 9 AS hi, s_suppkey % 30 + 1 AS complexity,
+              coalesce(CASE s_suppkey % 4 WHEN 0 THEN 'ws/m_' || (s_suppkey % 5) WHEN 2 THEN 'm_' || ((s_suppkey + 1) % 5) END, CASE WHEN s_suppkey % 11 <> 0 THEN 'm_' || (s_suppkey % 5) END) AS package FROM supplier),
+src AS (SELECT DISTINCT file, package, parts, list_filter(string_split(coalesce(package, ''), '/'), lambda x: x <> '') AS names FROM fs),
+ln AS (SELECT CASE WHEN n_nationkey % 8 = 0 THEN 'other/src/u_' ELSE 'ws/m_' || (n_nationkey % 5) || '/src/u_' END || (n_nationkey % 3) || '.rs' AS path, unnest(range(1, n_nationkey % 6 + 2)) AS line, (n_nationkey + 1) % 2 AS hits FROM nation),
+lines AS (SELECT path, line, sum(hits) AS hits FROM ln GROUP BY path, line),
+keys AS (SELECT DISTINCT path, string_split(path, '/') AS k FROM lines),
+""" + _RESOLVE + """,
+nested AS (SELECT f.seq, count(*) AS total, count(*) FILTER (WHERE l.hits > 0) AS covered
+           FROM fs f JOIN pick p ON p.file = f.file AND p.package IS NOT DISTINCT FROM f.package JOIN lines l ON l.path = p.cov_key AND l.line BETWEEN f.lo AND f.hi
+           WHERE NOT EXISTS (SELECT 1 FROM fs g WHERE g.parts = f.parts AND g.lo >= f.lo AND g.hi <= f.hi AND g.hi - g.lo < f.hi - f.lo AND l.line BETWEEN g.lo AND g.hi) GROUP BY f.seq),
+joined AS (SELECT f.seq, f.file, f.complexity, n.total, n.covered, CASE WHEN p.seen AND p.cov_key IS NULL THEN 'ambiguous' WHEN n.total > 0 THEN 'measured' ELSE 'missing' END AS coverage_join
+           FROM fs f LEFT JOIN pick p ON p.file = f.file AND p.package IS NOT DISTINCT FROM f.package LEFT JOIN nested n ON n.seq = f.seq)
+"""
+
 ORACLES: dict[str, str] = {
     "end_to_end": f"WITH {SQL_SCORED} SELECT seq, file, function, start_line, end_line, complexity, coverage, coverage_join, crap, crate_name, {_RISK} AS risk, crap > 15 AS exceeds FROM scored",
     "lcov_parse": f"WITH {SQL_LINES} SELECT path, line, hits FROM lines",
@@ -197,18 +239,13 @@ WITH src AS (SELECT DISTINCT file, package, list_filter(string_split(file, '/'),
 keys AS (SELECT DISTINCT path, string_split(path, '/') AS k FROM (
   SELECT CASE WHEN n_nationkey % 7 = 0 THEN 'x/m_' || (n_nationkey % 5) || '/lib/u_' || (n_nationkey % 3) || '.rs' WHEN n_nationkey % 2 = 0 THEN 'ws/m_' || (n_nationkey % 5) || '/src/u_' || (n_nationkey % 3) || '.rs'
               ELSE 'a_' || (n_nationkey % 4) || '/src/u_' || (n_nationkey % 3) || '.rs' END AS path FROM nation)),
-cand AS (SELECT file, package, names, unnest(CASE WHEN len(parts) > 1 AND len(names) > 1 THEN [parts, list_concat(names, parts), list_concat([names[len(names)]], parts)]
-                                                  WHEN len(parts) > 1 AND len(names) = 1 THEN [parts, list_concat(names, parts)] ELSE [parts] END) AS c FROM src),
-hit AS (SELECT file, package, names, path, k, len(k) <= len(c) AS e, least(len(k), len(c)) AS n, k = c AS x FROM cand JOIN keys
-        ON list_slice(k, len(k) - least(len(k), len(c)) + 1, len(k)) = list_slice(c, len(c) - least(len(k), len(c)) + 1, len(c))),
-won AS (SELECT DISTINCT file, package, names, path, k FROM (SELECT *, rank() OVER (PARTITION BY file, package ORDER BY e DESC, n DESC, x DESC) AS r FROM hit) WHERE r = 1),
-named AS (SELECT *, CASE WHEN len(names) = 1 THEN len(list_filter(range(1, len(k)), lambda i: k[i] = names[1] AND k[i + 1] IN ('src', 'lib', 'tests', 'benches', 'examples'))) > 0
-                         WHEN len(names) > 1 THEN list_contains(k, names[len(names)]) ELSE false END AS strong,
-                 len(names) > 0 AND list_contains(k, names[len(names)]) AS weak FROM won),
-pick AS (SELECT file, package, CASE WHEN count(*) = 1 THEN any_value(path) WHEN count(*) FILTER (WHERE strong) = 1 THEN any_value(path) FILTER (WHERE strong)
-                                    WHEN count(*) FILTER (WHERE weak) = 1 THEN any_value(path) FILTER (WHERE weak) END AS cov_key, true AS seen FROM named GROUP BY file, package)
+""" + _RESOLVE + """
 SELECT s.file, s.package, p.cov_key, CASE WHEN p.seen IS NULL THEN 'missing' WHEN p.cov_key IS NULL THEN 'ambiguous' ELSE 'found' END AS status
 FROM src s LEFT JOIN pick p ON p.file = s.file AND p.package IS NOT DISTINCT FROM s.package""",
+    "join_keys": f"WITH {_KEYED} SELECT seq, file, coverage_join, CASE WHEN total > 0 THEN covered::DOUBLE / total * 100.0 ELSE 100.0 END AS coverage FROM joined",
+    "ambiguous_summary": f"""WITH {_KEYED},
+scored AS (SELECT *, complexity::DOUBLE * complexity * pow(1 - coalesce(CASE WHEN total > 0 THEN covered::DOUBLE / total END, 0), 3) + complexity AS crap FROM joined)
+SELECT count(*) AS functions, count(*) FILTER (WHERE coverage_join = 'ambiguous') AS ambiguous, count(*) FILTER (WHERE crap > 15) AS exceeding, false AS gate_failed, count(*) FILTER (WHERE crap > 15) = 0 AS threshold_cleared FROM scored""",
     "path_parts": """
 SELECT page_id, array_to_string(list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.')), '|') AS parts, substr(path, 4) || ':' || page_id AS location
 FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '/./') || '//x/./y' AS path FROM pages)""",
@@ -229,7 +266,7 @@ SELECT count(*) AS functions, count(*) FILTER (WHERE crap > 15) AS exceeding, CA
        (SELECT function FROM scored ORDER BY crap DESC, list_filter(string_split(file, '/'), lambda x: x <> '') DESC, start_line DESC, seq DESC LIMIT 1) AS worst
 FROM scored""",
     "package_rollup": f"WITH {SQL_SCORED} SELECT crate_name, count(*) AS functions, count(*) FILTER (WHERE crap > 15) AS over FROM scored WHERE crate_name IS NOT NULL GROUP BY crate_name",
-    "missing_policies": f"WITH {SQL_SCORED.replace('FROM lineitem)', 'FROM lineitem WHERE l_orderkey % 400 + 1 < 200)')} " + " UNION ALL ".join(_POLICY.format(*x) for x in (("pessimistic", "0.0", ""), ("optimistic", "100.0", ""), ("skip", "0.0", "WHERE coverage_join = 'measured'"))),
+    "missing_policies": f"WITH {SQL_SCORED.replace(_FOUND, _LOST)} " + " UNION ALL ".join(_POLICY.format(*x) for x in (("pessimistic", "0.0", ""), ("optimistic", "100.0", ""), ("skip", "0.0", "WHERE coverage_join = 'measured'"))),
     "output_order": f"WITH {SQL_SCORED} SELECT crate_name, seq, row_number() OVER (PARTITION BY crate_name ORDER BY crap DESC, string_split(file, '/'), start_line, seq) AS place FROM scored",
     "glob_filter": "SELECT page_id, rel FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS rel FROM pages) WHERE rel <> '' AND NOT regexp_matches(rel, '//|^/|/$') AND NOT (string_split(rel, '/')[-1] = '*1')",
     "feature_closure": "WITH RECURSIVE e AS (SELECT 'f' || n_nationkey AS a, 'f' || ((n_nationkey * 2 + 1) % 25) AS b FROM nation), c AS (SELECT unnest(['f0', 'f2']) AS feature UNION SELECT b FROM e JOIN c ON a = feature) SELECT feature FROM c",

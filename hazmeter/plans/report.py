@@ -18,6 +18,8 @@ from hazmeter.operators.spans import ordered
 from hazmeter.operators.summary import by_package, summarise
 
 RED, RESET = "\x1b[31m", "\x1b[0m"
+# The sentences of the text report.
+AMBIGUOUS = "{} function(s) used --missing due to ambiguous coverage paths."
 TESTS = "Add automated tests for the under-covered functions."
 REFACTOR = "Refactor functions whose complexity stays high even when covered."
 BOTH = "Add tests where coverage is low; refactor when complexity stays high."
@@ -28,7 +30,7 @@ def shortest(value: float) -> str:
 
 
 def ambiguous_warning(n: int) -> str:
-    return f"warning: {n} function(s) matched several coverage files" if n else ""
+    return AMBIGUOUS.format(n) if n else ""
 
 
 def document(scored: DataFrame, threshold: float, metric: Metric, language: str, fail_above: bool = False) -> Iterator[str]:
@@ -56,17 +58,20 @@ def action(s: Row) -> str:
 
 
 def table(scored: DataFrame, threshold: float, cwd: str, color: bool = False) -> Iterator[str]:
-    """Lines of the text table. Widths come from an aggregate, so rows need not be held."""
+    """Lines of the text table. Widths come from an aggregate, so rows need not be held.
+
+    As the format has it, the header of the complexity may be wider than its column, and names count in bytes.
+    """
     one = lambda x: f"{x:.1f}"
-    shown = ordered(scored).select("function", "complexity", "coverage", "crap", F.concat(display_path(F.col("file"), cwd), F.lit(":"), F.col("start_line")).alias("location"))
-    w = scored.agg(F.max("crap"), F.max("complexity"), F.max("coverage"), F.max(F.octet_length("function"))).first()
+    shown = ordered(scored).select("function", "complexity", "coverage", "crap", score.risk(F.col("crap")).alias("risk"), F.concat(display_path(F.col("file"), cwd), F.lit(":"), F.col("start_line")).alias("location"))
+    w = scored.agg(F.max("crap"), F.max("complexity"), F.max("coverage"), F.max(F.octet_length("function")), F.max(F.length(score.risk(F.col("crap"))))).first()
     wide = lambda k, least, f=str: max(least, len(f(w[k])) if w[k] is not None else 0)
-    crap, comp, cov, name = wide(0, 4, one), wide(1, 2), wide(2, 4, one), max(8, w[3] or 0)
-    yield f"{'RISK':<4}  {'CRAP':>{crap}}  {'COMP':>{comp}}  {'COV%':>{cov}}  {'FUNCTION':<{name}}  LOCATION"
+    crap, comp, cov, name, risk = wide(0, 4, one), wide(1, 2), wide(2, 4, one), max(8, w[3] or 0), max(4, w[4] or 0)
+    yield f"  {'':<4}  {'RISK':<{risk}}  {'CRAP':>{crap}}  {'COMP':>{comp}}  {'COV%':>{cov}}  {'FUNCTION':<{name}}  LOCATION"
     for r in shown.toLocalIterator():
         bad = r["crap"] > threshold
         mark = f"{'FAIL' if bad else 'ok':<4}"
-        yield f"{RED + mark + RESET if bad and color else mark}  {one(r['crap']):>{crap}}  {r['complexity']:>{comp}}  {one(r['coverage']):>{cov}}  {r['function']:<{name}}  {r['location']}"
+        yield f"  {RED + mark + RESET if bad and color else mark}  {r['risk']:<{risk}}  {one(r['crap']):>{crap}}  {r['complexity']:>{comp}}  {one(r['coverage']):>{cov}}  {r['function']:<{name}}  {r['location']}"
     s = summarise(scored, threshold).first()
     yield f"{s['exceeding']}/{s['functions']} functions exceed threshold {shortest(float(threshold))}."
     for extra in (ambiguous_warning(s["ambiguous"]), action(s)):

@@ -2,15 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazmeter.model import CoverageError
-from hazmeter.sources.lcov import U32, U64, saturated, unsigned
+from hazmeter.sources.lcov import U32, U64, saturated, trimmed, unsigned
 
 #: A block of so many lines is malformed.
 SPAN = 1_000_000
-_FIELDS = r"^(.+):([^:,\s]+)\.([^.:,\s]+),([^:,\s]+)\.([^.:,\s]+)\s+(\S+)\s+(\S+)$"
+#: Path up to the last colon before the span; of a place the line alone is read; fields are parted by single blanks.
+_FIELDS = r"(?s)^(.*):([^:,.]*)\.[^:,]*,([^:.]*)\.[^:]* ([^ ]*) ([^ ]*)$"
+
+
+def _mode(line: Column) -> Column:
+    """Mode of a profile's first line, null if it names none."""
+    line = trimmed(line)
+    name = F.when(line.startswith("mode:"), trimmed(F.substring(line, 6, 1 << 30)))
+    return F.when(name == "set", "set").when(name.isin("count", "atomic"), "count")
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    """Adds path, start_line, end_line, stmts, hits and error to (source, pos, mode, s); ``pos`` 0 is the header."""
+    # bound once: the parsed fields are named often below
+    texts = F.struct(*[F.regexp_extract("s", _FIELDS, i).alias(f"p{i}") for i in range(1, 6)], F.col("s").rlike(_FIELDS).alias("ok"))
+    fields = F.get(F.transform(F.array(texts), lambda p: F.struct(
+        F.when(p["ok"], F.replace(p["p1"], F.lit("\\"), F.lit("/"))).alias("path"), unsigned(p["p2"], U32).cast("long").alias("start_line"), unsigned(p["p3"], U32).cast("long").alias("end_line"),
+        unsigned(p["p4"], U64).alias("stmts"), unsigned(p["p5"], U64).alias("hits"),
+    )), F.lit(0))
+    out = rows.select("source", "pos", "mode", "s", F.explode(F.array(fields)).alias("f")).select("source", "pos", "mode", "s", "f.*")
+    valid = F.col("path").isNotNull() & F.col("stmts").isNotNull() & F.col("hits").isNotNull() & (F.col("start_line") > 0) & (F.col("end_line") >= F.col("start_line")) & (F.col("end_line") - F.col("start_line") < SPAN)
+    wrong = (F.col("pos") > 0) & ~F.coalesce(valid, F.lit(False))
+    error = F.when(~F.is_valid_utf8("s"), F.lit("not UTF-8")).when(F.col("mode").isNull(), F.lit("missing or unknown coverprofile mode")).when(wrong, F.concat(F.lit("malformed coverprofile line: "), "s"))
+    return out.withColumn("error", error).drop("s")
 
 
 def blocks(texts: DataFrame) -> DataFrame:
@@ -18,19 +41,16 @@ def blocks(texts: DataFrame) -> DataFrame:
 
     The first line is the mode; blank lines are skipped; everything else must be a block.
     """
-    rows = texts.select("source", F.regexp_extract(F.element_at(F.split("text", "\n"), 1), r"^\s*mode:\s*(\S+)\s*$", 1).alias("mode"), F.posexplode(F.split("text", "\n")).alias("pos", "s"))
-    rows = rows.withColumn("s", F.trim(F.regexp_replace("s", "[\\r\\t]", " "))).where((F.col("pos") == 0) | (F.col("s") != ""))
-    # bound once: the parsed fields are named often below
-    texts_ = F.struct(*[F.regexp_extract("s", _FIELDS, i).alias(f"p{i}") for i in range(1, 8)])
-    fields = F.get(F.transform(F.array(texts_), lambda p: F.struct(
-        F.nullif(p["p1"], F.lit("")).alias("path"), unsigned(p["p2"], U32).cast("long").alias("start_line"), unsigned(p["p3"], U32).alias("c0"), unsigned(p["p4"], U32).cast("long").alias("end_line"),
-        unsigned(p["p5"], U32).alias("c1"), unsigned(p["p6"], U64).alias("stmts"), unsigned(p["p7"], U64).alias("hits"),
-    )), F.lit(0))
-    mode = F.when(F.col("mode") == "set", "set").when(F.col("mode").isin("count", "atomic"), "count")
-    out = rows.select("source", "pos", mode.alias("mode"), "s", F.explode(F.array(fields)).alias("f")).select("source", "pos", "mode", "s", "f.*")
-    valid = F.col("path").isNotNull() & F.col("c0").isNotNull() & F.col("c1").isNotNull() & F.col("stmts").isNotNull() & F.col("hits").isNotNull() & (F.col("start_line") > 0) & (F.col("end_line") >= F.col("start_line")) & (F.col("end_line") - F.col("start_line") < SPAN)
-    error = F.when(F.col("mode").isNull(), F.lit("missing or unknown mode")).when((F.col("pos") > 0) & ~F.coalesce(valid, F.lit(False)), F.concat(F.lit("malformed line: "), "s"))
-    return out.withColumn("error", error).drop("c0", "c1", "s")
+    rows = texts.select("source", _mode(F.element_at(F.split("text", "\n"), 1)).alias("mode"), F.posexplode(F.split("text", "\n")).alias("pos", "s"))
+    return _parsed(rows.withColumn("s", trimmed(F.col("s"))).where((F.col("pos") == 0) | (F.col("s") != "")))
+
+
+def lines_of(spark: SparkSession, path: str) -> DataFrame:
+    """As :func:`blocks`, for files of any size: they are read by lines, and the line that begins a file is its header."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("s"))
+    heads = rows.where("block = 0").groupBy("source").agg(F.min(F.struct("id", "s")).alias("h")).select("source", F.col("h.id").alias("head"), _mode(F.col("h.s")).alias("mode"))
+    rows = rows.join(heads, "source").select("source", F.when(F.col("id") == F.col("head"), F.lit(0).cast("long")).otherwise(F.col("id") + 1).alias("pos"), "mode", trimmed(F.col("s")).alias("s"))
+    return _parsed(rows.where((F.col("pos") == 0) | (F.col("s") != "")))
 
 
 def coverage_lines(found: DataFrame) -> DataFrame:
@@ -55,18 +75,18 @@ def remap(lines: DataFrame, modules: DataFrame) -> DataFrame:
     return lines.join(best, "path", "left").select(moved.alias("path"), "line", "hits").groupBy("path", "line").agg(saturated(F.col("hits")).alias("hits"))
 
 
-def _checked(found: DataFrame, what: str) -> DataFrame:
-    r = found.agg(F.count_if(F.col("pos") > 0).alias("n"), F.min(F.when(F.col("error").isNotNull(), F.struct("source", "pos", "error"))).alias("e")).first()
+def load(found: DataFrame, modules: DataFrame | None, what: str) -> DataFrame:
+    """Coverage of checked blocks, import paths mapped if there are modules; one malformed line fails them all."""
+    first = F.min(F.when(F.col("error").isNotNull(), F.struct("source", "pos", "error")))
+    r = found.agg(F.count_if(F.col("pos") > 0).alias("n"), first.alias("e")).first()
     if r["e"] or not r["n"]:
-        raise CoverageError(r["e"]["error"] if r["e"] else f"{what}: no coverage blocks")
-    return coverage_lines(found)
+        raise CoverageError(f"{r['e']['source']}: {r['e']['error']}" if r["e"] else f"{what}: coverprofile has no data lines")
+    return remap(coverage_lines(found), modules) if modules is not None else coverage_lines(found)
 
 
-def parse_text(spark: SparkSession, text: str) -> DataFrame:
-    return _checked(blocks(spark.createDataFrame([("-", text)], "source string, text string")), "coverprofile")
+def parse_text(spark: SparkSession, text: str, modules: DataFrame | None = None) -> DataFrame:
+    return load(blocks(spark.createDataFrame([("<bytes>", text)], "source string, text string")), modules, "<bytes>")
 
 
 def read(spark: SparkSession, path: str, modules: DataFrame | None = None) -> DataFrame:
-    """Coverage of coverprofile files; one malformed line fails them all."""
-    lines = _checked(blocks(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))), path)
-    return remap(lines, modules) if modules is not None else lines
+    return load(lines_of(spark, path), modules, path)

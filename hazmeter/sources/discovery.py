@@ -182,13 +182,16 @@ def is_python_project(folder: str) -> bool:
 
 
 def python_packages(root: str) -> list[Package]:
-    """The root's package, then the members its uv workspace names; without such a list, nested projects."""
-    own, members = _py_package(root) if is_python_project(root) else (None, [])
+    """The root's package, then the members its uv workspace names; without such a list, nested projects.
+
+    A root without a manifest is refused.
+    """
+    own, members = _py_package(root)
     dirs = matching_dirs(root, members or ["**"], is_python_project, _py_skipped)
     found = [_py_package(d)[0] for d in dirs if os.path.realpath(d) != os.path.realpath(root)]
     if members and not found:
         raise ResolveError(f"{root}: workspace members match no package")
-    return unique(sorted([*([own] if own else []), *found], key=lambda p: p.name))
+    return unique(sorted([own, *found], key=lambda p: p.name))
 
 
 # npm
@@ -326,9 +329,16 @@ def cargo_workspace(path: str) -> tuple[str, list[Package]]:
     return root, unique([_cargo_package(f, docs[f]) for f in sorted(docs, key=lambda f: f.split(os.sep)) if "package" in docs[f]])
 
 
-def cargo_targets_at(path: str) -> list[Package]:
+def cargo_root(path: str, metadata: str | None = None) -> tuple[str, list[Package]]:
+    """Root and members: what ``cargo metadata`` printed, where that is given, or what the manifests say."""
+    if metadata is None:
+        return cargo_workspace(path)
+    return os.path.realpath(json.loads(metadata).get("workspace_root", path)), cargo_packages(metadata)
+
+
+def cargo_targets_at(path: str, metadata: str | None = None) -> list[Package]:
     """All members at the root of a workspace, one at a member's own folder."""
-    root, packages = cargo_workspace(path)
+    root, packages = cargo_root(path, metadata)
     if os.path.realpath(path) == root:
         return packages
     here = [p for p in packages if p.root == os.path.realpath(path)]
@@ -359,7 +369,7 @@ def enabled_features(package: Package | None, features: Iterable[str] = (), all_
     return sorted(seen)
 
 
-PACKAGES = {"go": go_packages, "python": python_packages, "typescript": npm_packages, "rust": lambda path: cargo_workspace(path)[1]}
+PACKAGES = {"go": go_packages, "python": python_packages, "typescript": npm_packages, "rust": lambda path, metadata=None: cargo_root(path, metadata)[1]}
 
 
 @dataclass(frozen=True)
@@ -374,10 +384,11 @@ class FeatureFlags:
         return tuple(enabled_features(package, self.features, self.all_features, self.default))
 
 
-def targets(path: str, language: str, workspace: bool = False, names: Iterable[str] = (), flags: FeatureFlags = FeatureFlags()) -> list[Target]:
+def targets(path: str, language: str, workspace: bool = False, names: Iterable[str] = (), flags: FeatureFlags = FeatureFlags(), metadata: str | None = None) -> list[Target]:
     """What to walk: the selected packages, else what the manifest at ``path`` stands for, else the bare path.
 
     At a Go module or a Cargo workspace that is every package of it, at a Python or npm project that one alone.
+    ``metadata``: the output of ``cargo metadata``, in place of reading Cargo's manifests.
     """
     names = list(names)
     if language not in (*PACKAGES, "rust"):
@@ -388,11 +399,11 @@ def targets(path: str, language: str, workspace: bool = False, names: Iterable[s
     if not (workspace or names or manifest):
         return [Target(path, features=flags.of(None) if language == "rust" else ())]
     if language == "rust" and not workspace and not names:
-        chosen = cargo_targets_at(path)
+        chosen = cargo_targets_at(path, metadata)
     elif language != "go" and not workspace and not names:
         chosen = [(_py_package if language == "python" else _npm_package)(path)[0]]
     else:
-        found = PACKAGES[language](path)
+        found = PACKAGES[language](path, metadata) if language == "rust" else PACKAGES[language](path)
         if not found:
             raise ResolveError(f"{path}: no {language} package")
         chosen = select(found, names) if names else found

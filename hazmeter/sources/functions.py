@@ -25,6 +25,8 @@ BESIDE_MANIFEST = frozenset("tests benches examples".split())
 LEFT_OUT = {"python": "\0", "go": "_test.go", "typescript": ".d.ts", "rust": "_tests.rs"}
 #: Functions of one file that ``seq`` has room for.
 ROOM = 1 << 20
+#: Broken files that one error lists.
+DETAILS = 10_000
 
 SHAPE = "seq long, file string, function string, start_line long, end_line long, complexity long, crate_name string, join_key string, error string"
 
@@ -59,11 +61,14 @@ def scan(sources: DataFrame, language: str, metric: str = "cyclomatic", tags: It
     return sources.select("seq", "file", "content", "crate_name", "join_key", features).mapInArrow(run, SHAPE)
 
 
-def checked(found: DataFrame, files: int, language: str) -> DataFrame:
-    """The functions, or one error that lists every file that failed, in order."""
-    bad = [r.error for r in found.where(F.col("error").isNotNull()).orderBy("seq").select("error").collect()]
+def checked(found: DataFrame, files: int, language: str, shown: int = DETAILS) -> DataFrame:
+    """The functions, or one error that tells how many files failed and lists the first ``shown`` of them in order."""
+    wrong = found.where(F.col("error").isNotNull())
+    bad = [r.error for r in wrong.orderBy("seq", "file").select("error").limit(shown + 1).collect()]
     if bad:
-        raise CollectError(f"failed to parse {len(bad)} of {files} {NAMES[language]} file(s)\n" + "\n".join(bad))
+        n = wrong.count() if len(bad) > shown else len(bad)
+        more = [f"and {n - shown} more"] if n > shown else []
+        raise CollectError(f"failed to parse {n} of {files} {NAMES[language]} file(s)\n" + "\n".join(bad[:shown] + more))
     return found.drop("error")
 
 
@@ -109,5 +114,42 @@ def load(spark: SparkSession, files: list[str], crate_name: str | None = None, j
                     content.append(h.read())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(content, pa.binary()), b.column(2), b.column(3)], names=["seq", "file", "content", "crate_name", "join_key"])
 
-    read = listed.repartition(max(1, min(len(files), 200))).mapInArrow(run, "seq long, file string, content binary, crate_name string, join_key string")
+    read = listed.repartition(max(1, -(-len(files) // 16))).mapInArrow(run, "seq long, file string, content binary, crate_name string, join_key string")
     return read.withColumn("features", F.array(*map(F.lit, features)).cast("array<string>"))
+
+
+def is_remote(path: str) -> bool:
+    """Whether a path names a store that Spark's readers open, and not a local folder."""
+    return "://" in path and not path.startswith("file://")
+
+
+def load_tree(spark: SparkSession, root: str, language: str, features: Iterable[str] = ()) -> DataFrame:
+    """As :func:`load`, for every source below ``root`` in any store that Spark reads; listing and reading are distributed.
+
+    The same names are left out as by :func:`walk`. ``seq`` counts within a file alone, which is all that the output's
+    order asks of it. Such stores have no links.
+    """
+    base = root.rstrip("/")
+
+    def listed(pattern: str, *columns) -> DataFrame:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(base)
+        at = F.instr("path", base)
+        return rows.select(F.expr("path").alias("whole"), *columns, F.substring(F.col("path"), F.lit(len(base) + 2) + F.greatest(at - 1, F.lit(0)), F.lit(1 << 30)).alias("rel"))
+
+    suffixes = "{" + ",".join("*" + s for s in SUFFIXES[language]) + "}"
+    found = listed(suffixes, F.col("content")).withColumn("parts", F.split("rel", "/"))
+    dirs = F.slice("parts", 1, F.size("parts") - 1)
+    skipped = F.exists(dirs, lambda d: d.isin(*SKIPPED[language]) | (d.endswith(".egg-info") if language == "python" else F.lit(False)))
+    name = F.element_at("parts", -1)
+    found = found.where(~skipped & ~name.endswith(LEFT_OUT[language]) & ((name != "tests.rs") if language == "rust" else F.lit(True)))
+    if MANIFEST[language]:
+        nested = listed(MANIFEST[language]).select(F.regexp_replace("rel", "/?[^/]+$", "").alias("folder")).distinct()
+        above = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda n: F.array_join(F.slice("parts", 1, n - 1), "/"))
+        if language == "rust":
+            # beside a manifest, these folders hold no code of the package
+            beside = nested.select(F.explode(F.array(*[F.concat(F.when(F.col("folder") != "", F.concat("folder", F.lit("/"))).otherwise(""), F.lit(d)) for d in sorted(BESIDE_MANIFEST)])).alias("folder"))
+            nested = beside
+        gone = found.select("whole", F.explode(above).alias("folder")).where("folder <> ''").join(nested, "folder", "left_semi").select("whole").distinct()
+        found = found.join(gone, "whole", "left_anti")
+    null = F.lit(None).cast("string")
+    return found.select(F.lit(0).cast("long").alias("seq"), F.col("whole").alias("file"), "content", null.alias("crate_name"), null.alias("join_key"), F.array(*map(F.lit, features)).cast("array<string>").alias("features"))

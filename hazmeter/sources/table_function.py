@@ -50,4 +50,4 @@ class ScanSource:
 
 def register_sql(spark: SparkSession, name: str = "scan_source") -> None:
     """``SELECT f.* FROM t, LATERAL scan_source(t.content, 'go', 'cyclomatic') f`` afterwards."""
-    spark.udtf.register(name, udtf(ScanSource, returnType="function string, start_line long, end_line long, complexity long, error string"))
+    spark.udtf.register(name, udtf(ScanSource, returnType="function string, start_line long, end_line long, complexity long, error string", useArrow=True))

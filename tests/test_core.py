@@ -76,7 +76,7 @@ def test_coverprofile(spark):
 def one(spark, file, package, *keys):
     src = spark.createDataFrame([(file, package)], "file string, package string")
     lines = spark.createDataFrame([(k, 1, 1) for k in keys], "path string, line long, hits long")
-    r = resolve.resolve(src, lines).first()
+    r = resolve.resolve(src, resolve.coverage_keys(lines)).first()
     return r.cov_key or r.status
 
 
@@ -116,7 +116,7 @@ def test_report(spark):
     empty = json.loads("".join(report.document(scored.limit(0), 15.0, Metric.CYCLOMATIC, "go")))
     assert empty["result"]["functions"] == [] and empty["result"]["threshold_cleared"]
     text = list(report.table(scored, 15.0, "/nowhere"))
-    assert text[0].startswith("RISK") and text[1].startswith("FAIL") and text[-2:] == ["1/2 functions exceed threshold 15.", report.TESTS]
+    assert text[:3] == ["        RISK      CRAP  COMP   COV%  FUNCTION  LOCATION", "  FAIL  moderate  20.0   4    0.0  g         a-b.rs:2", "  ok    low        1.0   1  100.0  f         a/b.rs:1"] and text[-2:] == ["1/2 functions exceed threshold 15.", report.TESTS]
     assert list(report.summary(scored, 12.5, "/nowhere")) == ["p: 1 functions, 0 over", "2 functions, 1 exceed threshold 12.5; worst: g 20.0 (a-b.rs:2)"]
     assert list(report.summary(scored.limit(0), 15.0, "/")) == ["0 functions, 0 exceed threshold 15."]
 
