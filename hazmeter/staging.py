@@ -36,6 +36,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    # Spark removes the files of shuffles that nobody refers to any more, but only once the driver's heap is collected
+    spark._jvm.System.gc()
     # a written schema has every column nullable
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
     return spark.read.schema(schema).parquet(path)
