@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -14,48 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver share: ``spark.checkpoint.dir``.
-
-    A folder of our own is used only where that is unset and Spark runs in one process, as in tests.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="staged-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return "file://" + _own[0]
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and a lost executor costs no recomputation.
-
-    The table goes when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    # a written schema has every column nullable
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
-    return spark.read.schema(schema).parquet(path)
-
-
-def drop_staged(df: DataFrame) -> None:
-    """Remove a table written by :func:`stage` that no plan reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
+from hazmeter.staging import drop_staged, shared_dir, stage  # noqa: F401  the operators take them from here
 
 def name_runs(df: DataFrame, route: str, keys: list[str], order: list[str], label: str, repeats_only: bool = False) -> DataFrame:
     """Give equal keys one integer name by sorting, without gathering any key in one task.

@@ -24,7 +24,7 @@ from .common import documents
 
 #: Edits allowed, as a share of the item's characters.
 ERRORS = 0.08
-#: Items below so many characters match only a document that is the item.
+#: Items below so many characters are found without any edit and between blanks: an edit more would be another phrase.
 LEAST = 32
 #: Characters of the items in one block.
 BLOCK = 1_000_000
@@ -95,17 +95,17 @@ class Matcher:
     def __init__(self, items: list[tuple], errors: float = ERRORS, least: int = LEAST):
         import ahocorasick
 
-        self.items, self.whole = [], {}
+        self.items = []
         pieces: dict[str, list[tuple[int, int]]] = {}
         for ident, text in items:
             p = normalise(text or "").strip()
             if not p:
                 continue
+            n, k = len(self.items), int(len(p) * errors)
             if len(p) < least:
-                self.whole.setdefault(p, []).append(ident)
+                self.items.append((ident, p, 0, None, None, None))
+                pieces.setdefault(p, []).append((n, 0))
                 continue
-            k = int(len(p) * errors)
-            n = len(self.items)
             self.items.append((ident, p, k, _peq(p), _peq(p[::-1]), _grams(p)))
             cuts = [len(p) * i // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
@@ -119,13 +119,9 @@ class Matcher:
 
     def __call__(self, text: str | None, any_: bool = False) -> list[tuple]:
         """(item, distance, start, end) for each item found, the best place each; ``any_``: one will do."""
-        if not text:
+        if not text or not self.automaton:
             return []
-        norm = normalise(text)
-        bare = norm.strip()
-        out = [(ident, 0, 0, len(text)) for ident in self.whole.get(bare, ())] if len(bare) < 256 else []
-        if not self.automaton or out and any_:
-            return out
+        norm, out = normalise(text), []
         hits: dict[int, set[int]] = {}
         for end, (size, at) in self.automaton.iter(norm):
             for n, off in at:
@@ -133,6 +129,15 @@ class Matcher:
         origin = None
         for n, begins in hits.items():
             ident, p, k, peq, back, grams = self.items[n]
+            if peq is None:
+                at = min((x for x in begins if norm[x - 1 : x] in ("", " ") and norm[x + len(p) : x + len(p) + 1] in ("", " ")), default=-1)
+                if at >= 0:
+                    if origin is None:
+                        origin = _origin(text)
+                    out.append((ident, 0, int(origin[at]), int(origin[at + len(p) - 1]) + 1))
+                    if any_:
+                        return out
+                continue
             best = None
             order = sorted(begins)
             i = 0
@@ -181,8 +186,10 @@ def blocks(items: DataFrame, id_col: str, text_col: str, size: int = BLOCK) -> I
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", errors: float = ERRORS, least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, distance, start_at, end_at): one row for each row of ``docs`` and each item that it holds.
 
-    The place is the best one, in code points of the whole text, the end exclusive. Null and empty texts hold and
-    are nothing. Without items or documents the result is empty. Repeated rows are reported each.
+    The place is the first of the best, in code points of the whole text, the end exclusive. Null and empty texts hold
+    nothing, null and empty items are in nothing; an item that two rows of ``items`` hold is reported for each. Without
+    items or documents the result is empty. Repeated rows of ``docs`` are reported each. Texts of any length are read
+    whole; columns beside id and text are ignored, whatever their names.
     """
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     shape = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance long, start_at long, end_at long"
@@ -205,7 +212,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", errors: float = ERRORS, least: int = LEAST, block: int = BLOCK) -> DataFrame:
-    """``docs`` without the rows that hold an item, all columns kept."""
+    """``docs`` without the rows that hold an item, all columns kept, whatever their names.
+
+    Null and empty texts hold nothing and stay; repeated rows stay or go together. An empty table stays empty, and
+    without items every row stays.
+    """
     place = docs.columns.index(text_col)
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]

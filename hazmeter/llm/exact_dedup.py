@@ -73,20 +73,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` drops, all columns kept.
+    """``docs`` without the rows that :func:`exact_dedup` drops, all columns kept, whatever their names.
 
     Rows are matched by (id, digest of the text); where a row is repeated with id and text, one copy stays.
     """
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    kept = stage(kept, "kept")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.withColumn("__s", F.sha2(text, 256))
-    found = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__sha")), "left_semi")
-    return found.dropDuplicates([id_col, "__s"]).select(*docs.columns) if _repeats(docs, id_col) else found.select(*docs.columns)
-
-
-def _repeats(docs: DataFrame, id_col: str) -> bool:
-    return not docs.groupBy(F.col(id_col)).count().where("count > 1").isEmpty()
+    kept = stage(exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")), "kept")
+    names, inner = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    of = lambda c: F.col(inner[names.index(c)])
+    rows = docs.toDF(*inner).withColumn("sha", F.sha2(F.coalesce(of(text_col).cast("string"), F.lit("")), 256))
+    found = rows.join(kept, of(id_col).eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
+    if not docs.groupBy(F.col(id_col)).count().where("count > 1").isEmpty():
+        found = found.dropDuplicates([inner[names.index(id_col)], "sha"])
+    return found.select(*inner).toDF(*names)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

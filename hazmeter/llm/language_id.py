@@ -3,7 +3,7 @@
 The model is a matrix of log-probabilities, languages by buckets, small and of fixed size, so it is broadcast.
 Counting and scoring are vectorised in numpy: the code points of a batch of texts form one array, n-gram hashes
 come from shifted sums, and a document's score is the sum of matrix columns over its n-grams. Each text is read
-whole; long ones in overlapping pieces.
+whole; the codes of long ones are worked on in pieces that count each n-gram once.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ BUCKETS = 1 << 15
 #: At most about so many labelled rows are learned from, chosen by a hash of id and text.
 FIT_ROWS = 40_000
 UNKNOWN = "und"
+#: Most languages that are learned; the matrix of counts that the driver gets has so many rows at most.
+LANGUAGES = 1_000
 #: Code points handled at once.
 PIECE = 1 << 18
 #: Rows of a batch that are worked on at once.
@@ -64,41 +66,46 @@ def has_letter(text: str | None) -> bool:
 
 
 def _batches(texts: list[str | None]):
-    """Groups of (row, codes) of about PIECE code points; a long text comes in several that overlap."""
-    rows, parts, size = [], [], 0
-    top = max(ORDERS)
+    """Groups of (rows, codes, starts) of about PIECE codes. A long text comes in several pieces: each holds the codes of
+    its n-grams, of which the first ``starts`` places are its own and the rest the next one's."""
+    rows, parts, starts, size = [], [], [], 0
+    more = max(ORDERS) - 1
     for k, t in enumerate(texts):
         if not has_letter(t):
             continue
-        for i in range(0, len(t), PIECE):
-            c = _codes(t[max(0, i - top + 1) : i + PIECE] if i else t[:PIECE])
+        c = _codes(t)
+        for i in range(0, len(c), PIECE):
             rows.append(k)
-            parts.append(c)
-            size += len(c)
+            parts.append(c[i : i + PIECE + more])
+            starts.append(min(PIECE, len(c) - i))
+            size += len(parts[-1])
             if size >= PIECE:
-                yield rows, parts
-                rows, parts, size = [], [], 0
+                yield rows, parts, starts
+                rows, parts, starts, size = [], [], [], 0
     if rows:
-        yield rows, parts
+        yield rows, parts, starts
 
 
-def _owners(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+def _grams(parts: list[np.ndarray], starts: list[int], orders: tuple[int, ...], buckets: int):
+    """(bucket, part) of each n-gram that begins at a place of its part's own and ends inside it, for each order."""
+    a, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    sizes = np.array([len(p) for p in parts])
+    first = np.cumsum(sizes) - sizes
+    own = np.arange(len(a)) - first[owner] < np.array(starts)[owner]
+    for n in orders:
+        if len(a) >= n:
+            inside = (owner[: len(a) - n + 1] == owner[n - 1 :]) & own[: len(a) - n + 1]
+            yield _buckets(a, n, buckets)[inside], owner[: len(inside)][inside]
 
 
 def count_grams(texts: list[str | None], labels: list[int], n_labels: int, buckets: int, orders=ORDERS) -> np.ndarray:
     """Counts by label and bucket."""
     out = np.zeros((n_labels, buckets), dtype=np.int64)
     labels = np.asarray(labels)
-    for rows, parts in _batches(texts):
-        a, owner = _owners(parts)
-        lab = labels[np.asarray(rows)][owner]
-        for n in orders:
-            if len(a) < n:
-                continue
-            b = _buckets(a, n, buckets)
-            inside = owner[: len(b)] == owner[n - 1 :]
-            out += np.bincount(lab[: len(b)][inside] * buckets + b[inside], minlength=n_labels * buckets).reshape(n_labels, buckets)
+    for rows, parts, starts in _batches(texts):
+        lab = labels[np.asarray(rows)]
+        for b, own in _grams(parts, starts, orders, buckets):
+            out += np.bincount(lab[own] * buckets + b, minlength=n_labels * buckets).reshape(n_labels, buckets)
     return out
 
 
@@ -109,7 +116,10 @@ def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     executors; the driver gets a matrix whose size is languages times buckets. No labelled row: a model without languages.
     """
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    found = rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(found) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} values of {lang_col}: no column of languages")
+    counts = {r.lang: r["count"] for r in found}
     langs, total = sorted(counts), sum(counts.values())
     if not langs:
         return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0))
@@ -142,16 +152,10 @@ def score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]
     total, grams = np.zeros((len(texts), m)), np.zeros(len(texts))
     seen = np.zeros(len(texts), dtype=bool)
     if m:
-        for rows, parts in _batches(texts):
-            a, owner = _owners(parts)
+        for rows, parts, begins in _batches(texts):
             rows = np.asarray(rows)
             seen[rows] = True
-            for n in model.orders:
-                if len(a) < n:
-                    continue
-                b = _buckets(a, n, model.buckets)
-                inside = owner[: len(b)] == owner[n - 1 :]
-                b, own = b[inside], owner[: len(inside)][inside]
+            for b, own in _grams(parts, begins, model.orders, model.buckets):
                 if not len(b):
                     continue
                 starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
@@ -167,9 +171,11 @@ def score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred and score, one row per row.
+    """The columns ``keep`` of ``docs`` with lang_pred and score, one row per row, repeated rows too.
 
-    Null texts and texts without a letter get ``und`` and score 0, as does everything if no language was learned.
+    Null texts and texts without a letter get ``und`` and score 0, as does everything if no language was learned. Texts
+    of any length are scored whole; of languages that tie the first by name is given. An empty table gives no rows;
+    other columns are ignored, whatever their names.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -178,10 +184,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
             lang, p = score(held.value, b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(p, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
+    rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("text"))
     names = [f"c{i}" for i in range(len(keep))]
     shape = ", ".join(f"`c{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = rows.toDF(*names, "__text").mapInArrow(run, f"{shape}, lang_pred string, score double")
+    out = rows.toDF(*names, "text").mapInArrow(run, f"{shape}, lang_pred string, score double")
     return out.toDF(*keep, "lang_pred", "score")
 
 
@@ -197,8 +203,9 @@ def learn(docs: DataFrame) -> Model:
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` without those whose language cannot be told: no letters, or no language reaches ``least``.
 
-    If nothing is labelled there is nothing to learn from and every document stays. Rows pass through whole and are
-    only filtered, so each text crosses to Python once.
+    If nothing is labelled there is nothing to learn from and every document stays. Null and empty texts go; repeated
+    rows stay or go together; an empty table stays empty; columns keep their places, whatever their names. Rows pass
+    through whole and are only filtered, so each text crosses to Python once.
     """
     model = learn(docs)
     if not model.langs:

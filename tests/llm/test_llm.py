@@ -9,13 +9,16 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hazmeter.llm import common, decontaminate, exact_dedup, kd_shards, language_id, license_scan, packing, pii, registry, secret_scan, simhash
 
 from .conftest import table
+from .test_near_copies import groups_of
 
 SF = "/root/testdata/sf0.001"
 
+
 def test_exact_dedup(spark, odd, empty):
     rows, df = odd
     for block in (7, 4096):
@@ -32,7 +35,7 @@ def test_exact_dedup(spark, odd, empty):
         assert all(r.doc_id == r.keep_id for r in got if r.kept)
     assert exact_dedup.exact_dedup(empty).count() == 0
     kept = exact_dedup.keep_distinct(df)
-    assert kept.columns == df.columns and kept.count() == len({t or "" for _, t in rows})
+    assert kept.columns == df.columns and kept.count() == len({t or "" for _, t in rows}) and exact_dedup.keep_distinct(empty).count() == 0
 
 
 def components_of(ids, fps):
@@ -93,15 +96,56 @@ def test_language(spark, odd, empty):
     got = language_id.predict(df, model).collect()
     assert len(got) == len(rows) and all((r.lang_pred == "und") == (not language_id.has_letter(t)) and 0 <= r.score <= 1 for r, (_, t) in zip(got, rows))
     assert language_id.predict(empty, model).count() == 0 and language_id.learn(df).langs == []
-    # pieces of a long text count the same n-grams as the whole
-    text = "Ab cd é " * 300
-    before = language_id.score(model, [text])
-    old, language_id.PIECE = language_id.PIECE, 101
-    try:
-        after = language_id.score(model, [text])
-    finally:
-        language_id.PIECE = old
-    assert before[0] == after[0] and abs(before[1][0] - after[1][0]) < 0.02
+    labelled = empty.unionByName(df.withColumn("lang", F.lit("en")))
+    kept = language_id.keep_known(labelled)
+    assert kept.columns == df.columns and kept.count() == sum(language_id.has_letter(t) for _, t in rows) and language_id.keep_known(empty).count() == 0
+    # pieces of a long text count the n-grams of the whole, each once
+    for text in ("Ab cd é " * 300, "x" * 2000, " 1 ".join("abc" * 5 for _ in range(200)), "İ" * 500):
+        for piece in (7, 101, 1 << 18):
+            old, language_id.PIECE = language_id.PIECE, piece
+            try:
+                counts = language_id.count_grams([text, "b" * 50], [0, 1], 2, 1 << 12)
+            finally:
+                language_id.PIECE = old
+            want = np.zeros((2, 1 << 12), dtype=np.int64)
+            for k, t in enumerate((text, "b" * 50)):
+                c = re.sub(r"[^a-z\u00aa-\u00d6\u00d8-\u00f6\u00f8-\U0010ffff]+", " ", f" {t.lower()} ")
+                for n in language_id.ORDERS:
+                    for i in range(len(c) - n + 1):
+                        h = n
+                        for x in c[i : i + n]:
+                            h = (h ^ ord(x)) * 2654435761 % 2**32
+                            h ^= h >> 15
+                        want[k, h % (1 << 12)] += 1
+            assert (counts == want).all()
+
+
+def test_language_brute_force(spark):
+    """Counts, probabilities and choice of a plain naive Bayes over the same buckets."""
+    rows = [(r.doc_id, r.text, r.lang) for r in common.documents(spark, SF).collect()]
+    learned = [(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 3 != 1 and x is not None]
+    langs = sorted({x for _, x in learned})
+
+    def grams(t):
+        c = re.sub(r"[^a-z\u00aa-\u00d6\u00d8-\u00f6\u00f8-\U0010ffff]+", " ", f" {t.lower()} ")
+        for n in language_id.ORDERS:
+            for i in range(len(c) - n + 1):
+                h = n
+                for x in c[i : i + n]:
+                    h = (h ^ ord(x)) * 2654435761 % 2**32
+                    h ^= h >> 15
+                yield h % language_id.BUCKETS
+
+    count = {x: collections.Counter() for x in langs}
+    for t, x in learned:
+        count[x].update(grams(t))
+    total = {x: sum(count[x].values()) + 0.5 * language_id.BUCKETS for x in langs}
+    got = {r.doc_id: r for r in registry.QUERIES["op8_language_id"](spark, SF).collect()}
+    for i, t, _ in rows[:60]:
+        g = list(grams(t))
+        s = np.array([np.log(sum(y == x for _, y in learned) / len(learned)) + sum(np.log((count[x][b] + 0.5) / total[x]) for b in g) for x in langs]) / np.sqrt(len(g))
+        p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        assert got[i].lang_pred == langs[int(p.argmax())] and abs(got[i].score - p.max()) < 1e-3
 
 
 def test_packing(spark, odd, empty):
@@ -149,13 +193,15 @@ def test_decontaminate(spark, odd, empty):
     passage = " ".join(rng.choices(words, k=40))
     worn = passage[:60] + "x" + passage[62:120] + "yy" + passage[120:]
     items = spark.createDataFrame([(1, passage), (2, None), (3, ""), (4, "Tiny one"), (5, " ".join(rng.choices(words, k=40)))], "item_id long, text string")
-    docs = table(spark, [(1, "Before it. " + passage.upper() + " after"), (2, "a " + worn), (3, " ".join(rng.choices(words, k=4000))), (4, None), (5, ""), (6, "tiny ONE!"), (7, "a tiny one"), (None, passage)])
+    docs = table(spark, [(1, "Before it. " + passage.upper() + " after"), (2, "a " + worn), (3, " ".join(rng.choices(words, k=4000))), (4, None), (5, ""), (6, "tiny ONE!"), (7, "a tiny one"), (8, "atiny one, tiny ones"), (None, passage)])
     got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(docs, items).collect()}
-    assert set(got) == {(1, 1), (2, 1), (6, 4), (None, 1)} and got[1, 1].distance == 0 and 0 < got[2, 1].distance <= 5
+    assert set(got) == {(1, 1), (2, 1), (6, 4), (7, 4), (None, 1)} and (got[7, 4].start_at, got[7, 4].end_at) == (2, 10) and got[1, 1].distance == 0 and 0 < got[2, 1].distance <= 5
     assert (got[1, 1].start_at, got[1, 1].end_at) == (11, 11 + len(passage.rstrip(".,!"))) or got[1, 1].end_at in range(8 + len(passage), 12 + len(passage))
     one = decontaminate.find_leaks(docs, items, block=1)
     assert {(r.doc_id, r.item_id) for r in one.collect()} == set(got)
-    assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()) == [3, 4, 5, 7]
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()) == [3, 4, 5, 8]
+    assert decontaminate.drop_leaks(docs, items).columns == docs.columns and decontaminate.drop_leaks(empty, items).count() == 0
+    assert decontaminate.drop_leaks(docs, items.limit(0)).count() == docs.count()
     assert decontaminate.find_leaks(empty, items).count() == 0 == decontaminate.find_leaks(docs, items.limit(0)).count()
 
     def dp(p, t):
@@ -263,8 +309,8 @@ def test_pipeline(spark):
     lang, score = language_id.score(model, docs.text.tolist())
     docs = docs[[a != "und" and b >= 0.5 for a, b in zip(lang, score)]]
     docs = docs.loc[docs.groupby("text").doc_id.idxmax()]
-    fps = np.array([simhash.fingerprint(t) for t in docs.text], dtype=np.uint64)
-    docs = docs[[i == c for i, c in zip(docs.doc_id, components_of(docs.doc_id.tolist(), fps))]]
+    docs = docs.sort_values("doc_id")
+    docs = docs[[k == r for k, r in enumerate(groups_of(docs.text.tolist()))]]
     items = [(r.item_id, r.text) for r in decontaminate.benchmark(spark, SF).collect()]
     match = decontaminate.Matcher(items)
     keep = {i for i, t in zip(docs.doc_id, docs.text) if not match(t)}
@@ -274,3 +320,6 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         df = stage(spark, df, SF)
         assert df.columns == common.documents(spark, SF).columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        none = stage(spark, df.limit(0), SF)
+        assert none.count() == 0 and none.columns == df.columns
