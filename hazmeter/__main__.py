@@ -34,6 +34,11 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def coverage_of(a: argparse.Namespace) -> str:
+    """The coverage file of the parsed options."""
+    return a.coverage or ("cover.out" if a.language == "go" else "lcov.info")
+
+
 def main(argv: list[str] | None = None) -> int:
     given = sys.argv[1:] if argv is None else argv
     # help and version win over everything else that is given, right or wrong
@@ -52,7 +57,7 @@ def main(argv: list[str] | None = None) -> int:
     except (OSError, UnicodeDecodeError) as err:
         print(f"error: {err}", file=sys.stderr)
         return 2
-    request = ScanRequest(a.path, a.coverage or ("cover.out" if a.language == "go" else "lcov.info"), a.metric, a.threshold, a.summary, a.fail_above, a.missing, a.format, metadata)
+    request = ScanRequest(a.path, coverage_of(a), a.metric, a.threshold, a.summary, a.fail_above, a.missing, a.format, metadata)
     from pyspark.errors import PySparkException
     from pyspark.sql import SparkSession
 

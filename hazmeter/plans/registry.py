@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hazmeter.functions import paths, score
 from hazmeter.operators import filters, resolve, spans, summary
+from hazmeter.plans import case_queries
 from hazmeter.plans.derived import SQL_FUNCTIONS, SQL_LINES, SQL_SCORED, functions, hit_rows, keyed, path_pairs, table
 from hazmeter.sources import coverprofile, lcov, table_function
 from hazmeter.sources import functions as source_functions
@@ -188,6 +189,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_rust": lambda s, d: _scan(s, d, "rust", RUST, RUST_BRANCH, "cyclomatic"),
     "scan_rust_cognitive": lambda s, d: _scan(s, d, "rust", RUST, RUST_BRANCH, "cognitive"),
     "scan_go_cognitive": lambda s, d: _scan(s, d, "go", GO, GO_BRANCH, "cognitive"),
+    **case_queries.QUERIES,
 }
 
 _RISK = "CASE WHEN isnan(crap) OR isinf(crap) THEN 'high' WHEN crap <= 8 THEN 'low' WHEN crap <= 15 THEN 'acceptable' WHEN crap <= 25 THEN 'moderate' ELSE 'high' END"
@@ -283,4 +285,5 @@ UNION ALL SELECT 'f_' || p_partkey, 'f' || p_partkey, {f_start}::BIGINT, {f_end}
             ("scan_typescript", 1, 1, 2, 3, 5, "1 + 3 * n", "."), ("scan_typescript_cognitive", 1, 1, 0, 3, 5, "2 * n", "."),
         )
     },
+    **case_queries.ORACLES,
 }

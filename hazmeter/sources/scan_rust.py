@@ -86,11 +86,12 @@ class Source:
 
     def find(self, lo: int, hi: int, marks: Iterable[str]) -> int:
         """The first of some marks at this level, or ``hi``. A brace that stands for a constant argument is none."""
-        i = lo
+        i, depth = lo, 0
         while i < hi:
             t = self.at(i, hi)
-            if t in marks and not (t == "{" and i > lo and self.text[i - 1] in ("<", ",", "=")):
+            if t in marks and not (t == "{" and depth and self.text[i - 1] in ("<", ",", "=")):
                 return i
+            depth = max(0, depth + (t == "<") - (t == ">"))
             i = self.after(i)
         return hi
 

@@ -67,8 +67,8 @@ def noise_end(src: str, i: int) -> int | None:
         while j < len(src):
             if src[j] == "`":
                 return j + 1
-            if src.startswith("${", j):
-                j = _block_end(src, j + 1)
+            if src.startswith("${", j) and (end := _block_end(src, j + 1)):
+                j = end
             else:
                 j += 2 if src[j] == "\\" else 1
         raise Broken("unclosed string")
@@ -93,7 +93,10 @@ def noise_end(src: str, i: int) -> int | None:
                 m = _QUOTED.match(src, j)
                 j = m.end() if m else len(src)
             elif src[j] == "{":
-                j = _block_end(src, j)
+                end = _block_end(src, j)
+                if end is None:
+                    break
+                j = end
             elif src[j] == ">":
                 return j + 1
             else:
@@ -102,18 +105,26 @@ def noise_end(src: str, i: int) -> int | None:
     return None
 
 
-def _block_end(src: str, i: int) -> int:
-    """End of the braces that open at ``i``, comments and literals inside passed over."""
+def _passed(src: str, i: int) -> int | None:
+    """As :func:`noise_end` where nothing is reported: open strings and comments reach to the end, the rest is none."""
+    try:
+        return noise_end(src, i)
+    except Broken as err:
+        return len(src) if str(err) in ("unclosed string", "unclosed comment") else None
+
+
+def _block_end(src: str, i: int) -> int | None:
+    """End of the braces that open at ``i``, comments and literals inside passed over; None if they do not close."""
     depth = 0
     while i < len(src):
-        if src[i] in "\"'`/<" and (end := noise_end(src, i)):
+        if src[i] in "\"'`/<" and (end := _passed(src, i)):
             i = end
             continue
         depth += (src[i] == "{") - (src[i] == "}")
         i += 1
         if not depth:
             return i
-    raise Broken("unclosed string")
+    return None
 
 
 def blanked(src: str) -> str:
