@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes worked on at once.
-PIECE = 1 << 22
+PIECE = 1 << 19
 
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
