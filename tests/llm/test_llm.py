@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hazmeter.llm import common, decontaminate, exact_dedup, kd_shards, language_id, license_scan, packing, pii, registry, secret_scan, simhash
+from hazmeter.llm import common, decontaminate, exact_dedup, language_id, license_scan, packing, pii, registry, secret_scan, simhash
 
 from .conftest import table
 from .test_near_copies import groups_of
@@ -218,19 +218,6 @@ def test_decontaminate(spark, odd, empty):
         assert decontaminate.myers(decontaminate._peq(p), len(p), t)[0] == dp(p, t)
 
 
-def test_sharding(spark, odd, empty):
-    rows, df = odd
-    out = kd_shards.shard(df).toPandas()
-    assert len(out) == len(rows) and sorted(out["size"]) == sorted(len((t or "").encode()) + 1 for _, t in rows)
-    for _, g in out.groupby("shard"):
-        assert sorted(g.slot) == list(range(len(g)))
-    assert (out.groupby("text_crc32").shard.nunique() == 1).all() and out.shard.between(0, 7).all()
-    assert kd_shards.shard(empty).count() == 0
-    big = registry.QUERIES["op5_kd_sharding"](spark, "/root/testdata/sf0.01").groupBy("shard").sum("size").collect()
-    loads = [r[1] for r in big]
-    assert len(loads) == 8 and max(loads) < 1.05 * min(loads)
-
-
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
 
