@@ -1,15 +1,22 @@
 """Licence scans: a trained paragraph classifier, scored with DataFrame operations only.
 
-The model is a softmax regression over word n-grams that hold a word of the licence vocabulary, trained on the
-driver from the notices below (constants, so every run learns the same). A paragraph without such an n-gram has no
-feature and is unknown by definition, which a search for the vocabulary decides; only the others are scored. The
-softmax is calibrated by one temperature on held-out variants, and a family is named only if its probability
-reaches the threshold that kept held-out foreign paragraphs out. A template comparison then has to confirm it.
+The model is a softmax regression over word n-grams, trained on the driver from notices and headers of sixteen families
+and from paragraphs that grant nothing (constants, so every run learns the same). Features are the runs of one to three
+words of the notices that hold a word which is not common; of these, the ones of greatest weight are kept. A paragraph
+without any of them has the bias alone, which says unknown: so a search for the features' words, made from the model,
+tells which paragraphs need to be scored, and changes no result.
+
+Probabilities are calibrated by one temperature on variants and on whole families that the model was not shown; a
+family is named from the probability that keeps 95 % of those foreign to it out (:func:`calibrate`). A comparison with
+the family's own notices then has to confirm it.
+
+Paragraphs end at blank lines; wrapped lines are joined. As a notice often stands on a line of its own within other
+text, the lines of a paragraph are candidates too.
 """
 
 from __future__ import annotations
 
-import math
+import json
 import random
 import re
 from functools import lru_cache
@@ -19,58 +26,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .licences import COMMON, FOREIGN, TEMPLATES
 
-#: Notices by family.
-TEMPLATES = {
-    "mit": (
-        "Released under the MIT License.", "This project is licensed under the MIT license.", "SPDX-License-Identifier: MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    ),
-    "apache": (
-        "Licensed under the Apache License, Version 2.0.", "Distributed under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-    ),
-    "gpl": (
-        "This work is licensed under the GNU General Public License, version 3.", "Released under the GPL, version 2 or later.", "SPDX-License-Identifier: GPL-3.0-or-later",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
-    ),
-    "lgpl": (
-        "Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later", "Distributed under the LGPL.",
-        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.",
-    ),
-    "bsd": (
-        "Released under the BSD 3-Clause License.", "Licensed under the two clause BSD license.", "SPDX-License-Identifier: BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-    ),
-    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "Licensed under the MPL 2.0 license.", "SPDX-License-Identifier: MPL-2.0"),
-    "cc": (
-        "Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY-SA 4.0.",
-        "SPDX-License-Identifier: CC0-1.0", "Text is available under the Creative Commons Attribution-ShareAlike License.",
-    ),
-    "proprietary": ("Copyright. All rights reserved.", "This software is proprietary and confidential. Unauthorized copying is prohibited. All rights reserved.", "No license is granted; all rights reserved."),
-}
-#: Paragraphs about licences that grant none.
-FOREIGN = (
-    "You need a driving license to rent a car.", "The license expired last year and had to be renewed.", "Copyright law protects authors.", "The restaurant lost its liquor license.",
-    "Please read the license before you install.", "A license fee is due each month.", "She is a licensed nurse.", "The court ruled on copyright in the case.", "Apache helicopters flew over the river.",
-    "The fishing licence costs ten pounds.", "He asked for permission to leave.", "Licensed drivers only, please.", "Mozilla hosts a conference.", "Creative people in the commons.", "The licence plate was stolen.",
-    "There is no warranty on the old car.", "Reserved seats are on the left.", "The general public is welcome.",
-)
-#: An n-gram is a feature if it holds one of these words.
-VOCABULARY = ("license", "licence", "licensed", "licenses", "copyright", "permission", "redistribution", "redistribute", "gnu", "gpl", "lgpl", "apache", "bsd", "mozilla", "mpl", "spdx", "creative", "commons", "cc", "reserved", "proprietary", "warranty", "public")
 CLASSES = ("unknown", *TEMPLATES)
 #: Share of a template's word pairs, or of the paragraph's, that both must have.
 CONFIRM = 0.5
+#: n-grams kept.
+FEATURES = 600
+#: What :func:`calibrate` finds; a test holds them to it.
+HEAT, THRESHOLD = 0.707, 0.564
 
 _WORD = re.compile(r"[a-z0-9]+")
 
 
 def grams(text: str) -> set[str]:
-    """The features of a paragraph: its runs of one to three words that hold a word of the vocabulary."""
+    """The runs of one to three words that hold a word which is not common."""
     w = _WORD.findall(text.lower())
     runs = (w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1))
-    return {" ".join(r) for r in runs if any(x in VOCABULARY for x in r)}
+    return {" ".join(r) for r in runs if any(map(_telling, r))}
+
+
+def _telling(word: str) -> bool:
+    return word not in COMMON and not word.isdigit()
 
 
 def _variants(rng: random.Random, text: str, n: int) -> list[str]:
@@ -84,45 +61,76 @@ def _variants(rng: random.Random, text: str, n: int) -> list[str]:
     return out
 
 
+def _rows(rng: random.Random, n: int, without: str | None = None) -> list[tuple[set[str], int]]:
+    rows = [(grams(v), CLASSES.index(c)) for c, texts in TEMPLATES.items() if c != without for t in texts for v in _variants(rng, t, n)]
+    return rows + [(grams(v), 0) for t in FOREIGN for v in _variants(rng, t, n)]
+
+
+def _matrix(rows, index: dict[str, int]) -> np.ndarray:
+    x = np.zeros((len(rows), len(index) + 1), dtype=np.float32)
+    x[:, -1] = 1
+    for r, (g, *_) in enumerate(rows):
+        found = [index[v] for v in g if v in index]
+        x[r, found] = 1 / max(1.0, len(found) ** 0.5)  # long notices weigh no more than short ones
+    return x
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def fit(without: str | None = None, rounds: int = 250) -> tuple[list[str], np.ndarray]:
+    """(n-grams, weights with the biases last), learned without one family if asked so; no temperature applied."""
+    rows = _rows(random.Random(7), 12, without)
+    own = set().union(*(grams(t) for c, texts in TEMPLATES.items() if c != without for t in texts))
+    share: dict[str, np.ndarray] = {g: np.zeros(len(CLASSES)) for g in own}
+    for g, c in rows:
+        for v in own & g:
+            share[v][c] += 1
+    sizes = np.maximum(np.bincount([c for _, c in rows], minlength=len(CLASSES)), 1)
+    # kept are those whose share in one class stands out most from their share in the next
+    apart = {g: -float(np.subtract(*np.sort(n / sizes)[[-1, -2]])) for g, n in share.items()}
+    names = sorted(sorted(own, key=lambda g: (apart[g], g))[:FEATURES])
+    y = np.eye(len(CLASSES), dtype=np.float32)[[c for _, c in rows]]
+    x = _matrix(rows, {g: i for i, g in enumerate(names)})
+    w = np.zeros((x.shape[1], len(CLASSES)), dtype=np.float32)
+    for _ in range(rounds):
+        w += 8.0 * (x.T @ (y - _softmax(x @ w)) / len(x) - 1e-4 * w)
+    return names, w
+
+
+def calibrate() -> tuple[float, float]:
+    """(temperature, threshold) from other variants, and from families left out of the learning, which are unknown."""
+    logits, y = [], []
+    for without in (None, *TEMPLATES):
+        names, w = fit(without)
+        index = {g: i for i, g in enumerate(names)}
+        rng = random.Random(11)
+        rows = _rows(rng, 4) if without is None else [(grams(v), 0) for t in TEMPLATES[without] for v in _variants(rng, t, 4)]
+        z = _matrix(rows, index) @ w
+        logits.append(z)
+        y += [c for _, c in rows]
+    z, y = np.concatenate(logits), np.array(y)
+    heat = min(np.geomspace(0.5, 8, 41), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).sum())
+    foreign = _softmax(z / heat)[y == 0][:, 1:].max(axis=1)
+    return round(float(heat), 3), round(max(0.5, float(np.quantile(foreign, 0.95))), 3)
+
+
 @lru_cache(maxsize=1)
 def model() -> tuple[dict[str, list[float]], list[float], float]:
     """(weights of each n-gram by class, biases, threshold), the temperature applied."""
-    rng = random.Random(7)
-    sets = []
-    for n in (24, 12):  # to learn from, to calibrate on
-        rows = [(grams(v), CLASSES.index(c)) for c, texts in TEMPLATES.items() for t in texts for v in _variants(rng, t, n)]
-        rows += [(grams(v), 0) for t in FOREIGN for v in _variants(rng, t, n)]
-        sets.append(rows)
-    names = sorted({g for t in (*FOREIGN, *(x for v in TEMPLATES.values() for x in v)) for g in grams(t)})
-    index = {g: i for i, g in enumerate(names)}
-
-    def matrix(rows):
-        x = np.zeros((len(rows), len(names) + 1))
-        x[:, -1] = 1
-        for r, (g, _) in enumerate(rows):
-            x[r, [index[v] for v in g if v in index]] = 1
-        return x, np.array([c for _, c in rows])
-
-    x, y = matrix(sets[0])
-    hot, w = np.eye(len(CLASSES))[y], np.zeros((x.shape[1], len(CLASSES)))
-    for _ in range(400):
-        z = x @ w
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        w += 1.0 * (x.T @ (hot - p) / len(x) - 3e-4 * w)
-    x, y = matrix(sets[1])
-
-    def prob(t):
-        z = x @ w / t
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
-
-    heat = min(np.geomspace(0.2, 5, 40), key=lambda t: -np.log(prob(t)[np.arange(len(y)), y] + 1e-12).sum())
-    p = prob(heat)
-    foreign = p[y == 0][:, 1:].max(axis=1)
-    threshold = max(0.5, float(np.quantile(foreign, 0.98)))
-    w = w / heat
-    return {g: [round(float(v), 6) for v in w[i]] for g, i in index.items()}, [round(float(v), 6) for v in w[-1]], threshold
+    names, w = fit()
+    w = w / HEAT
+    return {g: [round(float(v), 5) for v in w[i]] for i, g in enumerate(names)}, [round(float(v), 5) for v in w[-1]], THRESHOLD
+
+
+def probabilities(text: str) -> np.ndarray:
+    """The classes' probabilities of one paragraph, by numpy: what the columns below must give."""
+    weights, bias, _ = model()
+    found = [weights[g] for g in grams(text) if g in weights]
+    z = np.array(bias) + (np.sum(found, axis=0) / max(1.0, len(found) ** 0.5) if found else 0)
+    return _softmax(z[None, :])[0]
 
 
 def _array(values) -> Column:
@@ -140,14 +148,18 @@ def _let(value: Column, body) -> Column:
 def _classify(paragraph: Column) -> Column:
     """(family, probability, overlap, confirmed) of one paragraph."""
     weights, bias, threshold = model()
-    table = F.map_from_arrays(_array(weights), F.array(*[_array(v) for v in weights.values()]))
-    templates = F.array(*[F.array(*[_array(sorted({f"{a} {b}" for a, b in zip(w, [*w[1:], ""])})) for w in (_WORD.findall(t.lower()) for t in texts)]) for texts in TEMPLATES.values()])
+    table = F.from_json(F.lit(json.dumps(weights)), "map<string,array<double>>")
+    pairs = [[sorted({f"{a} {b}" for a, b in zip(w, [*w[1:], ""])}) for w in (_WORD.findall(t.lower()) for t in texts)] for texts in TEMPLATES.values()]
+    templates = F.from_json(F.lit(json.dumps(pairs)), "array<array<array<string>>>")
+    zero = F.struct(F.array_repeat(F.lit(0.0), len(bias)).alias("z"), F.lit(0.0).alias("n"))
 
     def scored(w: Column) -> Column:
         two = F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
         three = F.zip_with(two, F.slice(w, 3, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
-        all_ = F.array_distinct(F.filter(F.concat(w, two, three), lambda g: g.isNotNull()))
-        z = F.aggregate(all_, _array(bias), lambda acc, g: F.coalesce(F.zip_with(acc, F.try_element_at(table, g), lambda a, b: a + b), acc))
+        all_ = F.filter(F.array_distinct(F.concat(w, two, three)), lambda g: g.isNotNull())
+        hits = F.filter(F.transform(all_, lambda g: F.try_element_at(table, g)), lambda x: x.isNotNull())
+        summed = F.aggregate(hits, zero, lambda acc, x: F.struct(F.zip_with(acc["z"], x, lambda a, b: a + b).alias("z"), (acc["n"] + 1).alias("n")))
+        z = _let(summed, lambda s: F.zip_with(s["z"], _array(bias), lambda a, b: a / F.greatest(F.lit(1.0), F.sqrt(s["n"])) + b))
         return _let(z, lambda z: _let(F.transform(z, lambda v: F.exp(v - F.array_max(z))), lambda e: named(w, e)))
 
     def named(w: Column, e: Column) -> Column:
@@ -166,27 +178,54 @@ def _classify(paragraph: Column) -> Column:
     return _let(words, scored)
 
 
+@lru_cache(maxsize=1)
+def gate() -> str:
+    """An expression that finds a word of each feature: of its words the one that is in most features, so that few suffice."""
+    left, out = {g: [w for w in g.split() if _telling(w)] for g in model()[0]}, []
+    while left:
+        count: dict[str, int] = {}
+        for words in left.values():
+            for w in set(words):
+                count[w] = count.get(w, 0) + 1
+        best = max(sorted(count), key=count.get)
+        out.append(best)
+        left = {g: words for g, words in left.items() if best not in words}
+    return "(?i)(?<![a-z0-9])(?:" + "|".join(sorted(out)) + ")(?![a-z0-9])"
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_paragraphs, found): one row per row of ``docs``.
+    """(doc_id, n_paragraphs, found): one row per row of ``docs``, repeated rows too.
 
-    Paragraphs are the non-blank lines of the whole text. ``found`` lists those with a word of the licence vocabulary:
-    their place among the paragraphs from 0, family (or unknown), probability, overlap with the nearest template and
-    whether that confirms the family. Null and empty texts have no paragraph; other columns are ignored.
+    Paragraphs of the whole text end at blank lines. ``found`` lists paragraphs, and lines of paragraphs of several
+    lines, that hold a feature's word: place of the paragraph from 0, of the line in it from 0 or -1 for the whole,
+    family (or unknown), probability, overlap with the nearest notice and whether that confirms the family. Null and
+    empty texts have no paragraph, an empty table gives no rows; other columns are ignored, whatever their names.
     """
-    gate = r"(?i)(?<![a-z0-9])(" + "|".join(VOCABULARY) + r")(?![a-z0-9])"
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda p: F.trim(p) != "")
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), lines.alias("lines"))
-    place = lambda p, i: F.struct(i.alias("paragraph"), p.alias("text"))
-    hits = F.filter(F.transform("lines", place), lambda s: s["text"].rlike(gate))
-    kept = rows.select("doc_id", F.size("lines").cast("long").alias("n_paragraphs"), F.when(F.col("text").rlike(gate), hits).otherwise(F.array()).alias("hits"))
-    found = F.transform("hits", lambda s: F.struct(s["paragraph"].alias("paragraph"), _classify(s["text"]).alias("c")))
+    pattern = gate()
+    text = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"\r\n?", "\n")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    parts = F.filter(F.split("text", r"\n[ \t]*(?=\n)"), lambda p: F.length(F.btrim(p, F.lit(" \t\n"))) > 0)
+    rows = rows.select("doc_id", parts.alias("parts"), F.col("text").rlike(pattern).alias("some"))
+    lines = lambda p: F.filter(F.split(p, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t"))) > 0)
+
+    def candidates(p: Column, i: Column) -> Column:
+        whole = F.struct(i.alias("paragraph"), F.lit(-1).alias("line"), F.replace(p, F.lit("\n"), F.lit(" ")).alias("text"))
+        each = lambda ls: F.transform(ls, lambda x, k: F.struct(i.alias("paragraph"), k.alias("line"), x.alias("text")))
+        return _let(lines(p), lambda ls: F.when(F.size(ls) > 1, F.concat(F.array(whole), each(ls))).otherwise(F.array(whole)))
+
+    hits = F.filter(F.flatten(F.transform(F.filter(F.transform("parts", lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda s: s["p"].rlike(pattern)), lambda s: candidates(s["p"], s["i"]))), lambda s: s["text"].rlike(pattern))
+    kept = rows.select("doc_id", F.size("parts").cast("long").alias("n_paragraphs"), F.when(F.col("some"), hits).otherwise(F.array()).alias("hits"))
+    found = F.transform("hits", lambda s: F.struct(s["paragraph"].alias("paragraph"), s["line"].alias("line"), _classify(s["text"]).alias("c")))
     return kept.select("doc_id", "n_paragraphs", found.alias("found"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmed lines, and confirmed paragraphs that no line of theirs explains."""
     f = scan(documents(spark, sf_dir))
     sure = F.filter("found", lambda s: s["c"]["confirmed"])
-    spans = F.array_join(F.transform(sure, lambda s: F.concat_ws(":", s["c"]["family"], s["paragraph"])), ",")
-    families = F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda s: s["c"]["family"]))), ",")
-    return f.select("doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_candidates"), F.size(sure).cast("long").alias("n_confirmed"), families.alias("families"), spans.alias("spans"))
+    f = f.select("doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_candidates"), sure.alias("sure"))
+    alone = lambda s: (s["line"] >= 0) | ~F.exists("sure", lambda o: (o["paragraph"] == s["paragraph"]) & (o["line"] >= 0) & (o["c"]["family"] == s["c"]["family"]))
+    f = f.withColumn("sure", F.filter("sure", alone))
+    spans = F.array_join(F.transform("sure", lambda s: F.concat_ws(":", s["c"]["family"], s["paragraph"], s["line"])), ",")
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform("sure", lambda s: s["c"]["family"]))), ",")
+    return f.select("doc_id", "n_paragraphs", "n_candidates", F.size("sure").cast("long").alias("n_confirmed"), families.alias("families"), spans.alias("spans"))
