@@ -2,11 +2,16 @@ r"""Secret scans by a battery of randomness tests, with DataFrame operations onl
 
 Three patterns give the base spans. Beyond them, every run of 20 or more characters of common encodings is a
 candidate. Its encoding (hexadecimal, base32, alphanumeric, base64) is inferred from its characters, and it has to
-look like a uniform draw from that alphabet: a chi-squared test of the symbol counts, a runs test of the upper and
-lower half of the alphabet and a test of the serial correlation, joined by Bonferroni's rule. How unlikely the
-candidate is as ordinary text is the likelihood ratio of ordinary text to a uniform draw, which bounds a p-value
-by Markov's inequality. Over all documents, Benjamini and Hochberg's rule is applied to these p-values within each
-class of lengths, so that the many short candidates do not pay for the few long ones nor hide behind them.
+look like a uniform draw from that alphabet: a chi-squared test of the symbol counts (in as many equal cells as leave
+five expected in each), a runs test of the upper and lower half of the alphabet and a test of the serial correlation,
+joined by Bonferroni's rule.
+
+Most candidates are ordinary: words, names, numbers. How unlikely one is among these is the battery's chi-squared
+test from the other side, in its likelihood form: the counts of eight kinds of symbols against their shares in prose,
+in capitals, and in numbers. The least of the three divergences counts, and the method of types turns n characters'
+divergence D into a p-value that holds at any length, C(n + 7, 7) exp(-n D); no normal tail is trusted at 20
+characters. Over all documents, Benjamini and Hochberg's rule is applied to these p-values within each class of
+lengths, so that the many short candidates do not pay for the few long ones nor hide behind them.
 
 Where a match begins is found without Python: ``split`` gives what lies between the matches, ``regexp_extract_all``
 the matches, and their lengths add up to code points.
@@ -14,6 +19,8 @@ the matches, and their lengths add up to code points.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +41,12 @@ FINEST = 100
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ENCODINGS = {"hex": DIGITS + "abcdef", "base32": UPPER + "234567", "alnum": DIGITS + LOWER + UPPER, "base64": DIGITS + LOWER + UPPER + "+/"}
-#: Share of each letter in English text, in per mille, a to z.
-LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
-#: Shares of lower case, upper case, digits and signs in ordinary text.
-CASES = (0.92, 0.05, 0.02, 0.01)
+#: Kinds of symbols: vowels, frequent and rare consonants in lower and in upper case, digits, signs.
+KINDS = ("aeiou", "tnshrdl", "bcfgjkmpqvwxyz", "AEIOU", "TNSHRDL", "BCFGJKMPQVWXYZ", DIGITS, "+/_-")
+#: Shares of the kinds in ordinary text, in per mille: prose with few capitals, capitals, numbers, all with some signs.
+ORDINARY = ((360, 380, 180, 20, 20, 15, 15, 10), (15, 15, 15, 360, 380, 180, 20, 15), (25, 25, 25, 25, 25, 25, 800, 50))
+#: Expected symbols in a cell of the chi-squared test, at least.
+EXPECTED = 5
 
 
 def _find(text: Column, pattern: str, group: int, least: int) -> Column:
@@ -69,21 +78,25 @@ def _let(value: Column, body) -> Column:
 
 def _battery(token: Column) -> Column:
     """(p_random, log10_p): the battery's joint p-value, and the bound on the p-value as ordinary text."""
-    return _let(F.translate(token, "-_", "+/"), _of_token)
+    random = _let(F.translate(token, "-_", "+/"), _of_token)
+    return F.struct(random.alias("p_random"), _ordinary(token).alias("log10_p"))
 
 
 def _of_token(t: Column) -> Column:
-    hexa, b32, alnum = t.rlike("^[0-9a-f]+$"), t.rlike("^[A-Z2-7]+$"), t.rlike("^[0-9A-Za-z]+$")
+    hexa, upper, b32, alnum = t.rlike("^[0-9a-f]+$"), t.rlike("^[0-9A-F]+$"), t.rlike("^[A-Z2-7]+$"), t.rlike("^[0-9A-Za-z]+$")
     h, b, a, o = (F.lit(x) for x in ENCODINGS.values())
-    return _let(F.when(hexa, h).when(b32, b).when(alnum, a).otherwise(o), lambda alphabet: _in_alphabet(t, alphabet))
+    return _let(F.when(hexa, h).when(upper, F.lit(ENCODINGS["hex"].upper())).when(b32, b).when(alnum, a).otherwise(o), lambda alphabet: _in_alphabet(t, alphabet))
 
 
 def _in_alphabet(t: Column, alphabet: Column) -> Column:
     k, n = F.length(alphabet).cast("double"), F.length(t).cast("double")
     codes = F.transform(F.split(t, ""), lambda c: F.instr(alphabet, c) - F.lit(1.0))
-    squares = F.aggregate(F.transform(F.split(alphabet, ""), lambda s: n - F.length(F.replace(t, s, F.lit("")))), F.lit(0.0), lambda a, o: a + o * o)
-    df = k - 1
-    p1 = _tail((F.cbrt((k / n * squares - n) / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
+    # equal cells of neighbouring symbols; where the alphabet does not divide evenly, shares differ and are told apart
+    cells = F.greatest(F.lit(2.0), F.least(k, F.floor(n / EXPECTED)))
+    counts = F.transform(F.sequence(F.lit(1), cells.cast("int")), lambda c: _let(F.substring(alphabet, (F.ceil((c - 1) * k / cells) + 1).cast("int"), (F.ceil(c * k / cells) - F.ceil((c - 1) * k / cells)).cast("int")), lambda own: F.struct(F.length(F.regexp_replace(t, F.concat(F.lit("[^"), own, F.lit("]")), F.lit(""))).cast("double").alias("o"), (n * F.length(own) / k).alias("e"))))
+    chi = F.aggregate(counts, F.lit(0.0), lambda a, x: a + (x["o"] - x["e"]) * (x["o"] - x["e"]) / x["e"])
+    df = cells - 1
+    p1 = _tail((F.cbrt(chi / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
     zero = F.struct(*[F.lit(0.0).alias(c) for c in ("high", "runs", "serial")], F.lit(-1.0).alias("last"))
 
     def step(s, x):
@@ -100,24 +113,37 @@ def _in_alphabet(t: Column, alphabet: Column) -> Column:
         n1, n0 = s["high"], n - s["high"]
         mean = 2 * n0 * n1 / n + 1
         spread = F.sqrt(F.greatest(F.lit(1e-9), (mean - 1) * (mean - 2) / (n - 1)))
-        p2 = 2 * _tail(F.abs(s["runs"] - mean) / spread)
+        # half a run less, as runs are whole numbers
+        p2 = F.when((n1 == 0) | (n0 == 0), F.pow(F.lit(2.0), 1 - n)).otherwise(2 * _tail(F.greatest(F.lit(0.0), F.abs(s["runs"] - mean) - 0.5) / spread))
         p3 = 2 * _tail(F.abs(s["serial"]) / ((n - 1) * (k * k - 1) / 12) * F.sqrt(n - 1))
         return F.least(F.lit(1.0), 3 * F.least(p1, p2, p3))
 
-    share = {c: CASES[0] * f / sum(LETTERS) for c, f in zip(LOWER, LETTERS)} | {c.upper(): CASES[1] * f / sum(LETTERS) for c, f in zip(LOWER, LETTERS)} | {c: CASES[2] / 10 for c in DIGITS} | {c: CASES[3] / 2 for c in "+/"}
-    logs = F.array(*[F.log10(F.lit(share[c])) for c in ENCODINGS["base64"]])
-    text = F.aggregate(F.split(t, ""), F.lit(0.0), lambda a, c: a + F.get(logs, F.instr(F.lit(ENCODINGS["base64"]), c) - 1))
-    mixed = t.rlike("[0-9]") & t.rlike("[A-Za-z]")  # numbers and words alone are no evidence
-    log10_p = F.when(mixed, F.least(F.lit(0.0), text + n * F.log10(k))).otherwise(0.0)
-    return F.struct(F.aggregate(codes, zero, step, tests).alias("p_random"), log10_p.alias("log10_p"))
+    return F.aggregate(codes, zero, step, tests)
+
+
+def _ordinary(t: Column) -> Column:
+    """log10 of the bound on the p-value of a token's kinds of symbols as ordinary text; 0 is the greatest."""
+    n = F.length(t).cast("double")
+    counts = F.array(*[(n - F.length(F.translate(t, kind, ""))).cast("double") for kind in KINDS])
+
+    def bound(c):
+        def divergence(shares):
+            logs = F.array(*[F.lit(math.log10(x / sum(shares))) for x in shares])
+            return F.aggregate(F.zip_with(c, logs, lambda o, share: F.when(o > 0, o * (F.log10(o / n) - share)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+
+        types = sum((F.log10((n + i) / i) for i in range(1, len(KINDS))), F.lit(0.0))
+        return F.least(F.lit(0.0), types - F.least(*map(divergence, ORDINARY)))
+
+    return _let(counts, bound)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, extra): arrays of spans (start, kind, end) with kinds 0 assign, 1 access, 2 hex, 3 random.
 
     Offsets are code points, the end exclusive. Null text counts as empty and has no span; rows are taken one by
-    one, repeated or not, and other columns are ignored. ``extra`` holds what the battery adds: candidates that
-    pass it, are discoveries at the false-discovery rate and overlap no base span.
+    one, repeated or not, texts of any length whole; other columns are ignored, whatever their names; an empty table
+    gives no rows. ``extra`` holds what the battery adds: candidates that pass it, are discoveries at the
+    false-discovery rate and overlap no base span.
     """
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
