@@ -24,8 +24,10 @@ from .common import documents, stage
 
 SIZE = 4096
 EOS = 1
-#: Words after which a worker begins to forget those not seen again.
-REMEMBERED = 250_000
+#: Words after which a worker begins to forget those not seen again, and the longest that is remembered at all.
+REMEMBERED, LONGEST = 250_000, 64
+#: What shows whether a vocabulary's rules look across blanks or know more signs than expected.
+PROBE = "Don't stop;\nIT'S 3,14 o'clock... caf\u00e9 Stra\u00dfe \u4f60\u597d (a+b)=c! x_y <|endoftext|> \U0001d518 e\u0301 \ufb01 ? I'LL we've"
 #: Signs that end words.
 TAIL = ".,;:!?"
 
@@ -58,6 +60,8 @@ class Encoder:
             # for one lower-case word of Latin letters, normal forms and splits change nothing
             rules |= {"normalizer": None, "pre_tokenizer": steps[-1], "added_tokens": []}
             self.plain = Tokenizer.from_str(json.dumps(rules))
+        if self.encode(PROBE) != array("I", self.tok.encode(PROBE, add_special_tokens=False).ids).tobytes():
+            raise ValueError(f"{path}: its rules look across blanks, so words cannot be learned one by one")
 
     def encode(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
@@ -65,7 +69,11 @@ class Encoder:
         if new:
             self._learn(new, chunks)
         known = self.known
-        return b"".join([known[c] for c in chunks])
+        out = b"".join([known[c] for c in chunks])
+        for c in new:
+            if len(c) > LONGEST:  # base64 and the like would fill the memory
+                known.pop(c, None)
+        return out
 
     def _learn(self, new: set[str], chunks: list[str]) -> None:
         if len(self.known) > REMEMBERED:

@@ -189,6 +189,18 @@ def test_encoder():
             assert enc.encode(text) == np.asarray(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_encoder_bounds():
+    import public_tokenizers
+
+    enc = packing.Encoder(packing.vocabulary())
+    before = len(enc.known)
+    for k in range(50):
+        enc.encode("x" * 500 + str(k))
+    assert len(enc.known) <= before + 60 and max(map(len, enc.known)) <= 500
+    with pytest.raises(ValueError):
+        packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_decontaminate(spark, odd, empty):
     rng = random.Random(4)
     words = [w for t in common.documents(spark, SF).select("text").limit(40).collect() for w in t.text.split()]
