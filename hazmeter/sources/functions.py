@@ -127,7 +127,7 @@ def load_tree(spark: SparkSession, root: str, language: str, features: Iterable[
     """As :func:`load`, for every source below ``root`` in any store that Spark reads; listing and reading are distributed.
 
     The same names are left out as by :func:`walk`. ``seq`` counts within a file alone, which is all that the output's
-    order asks of it. Such stores have no links.
+    order asks of it. Such stores have no links; empty files, which hold no function, are not listed.
     """
     base = root.rstrip("/")
 
