@@ -22,6 +22,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +30,10 @@ from .common import documents
 from .licences import COMMON, FOREIGN, TEMPLATES
 
 CLASSES = ("unknown", *TEMPLATES)
-#: Share of a template's word pairs, or of the paragraph's, that both must have.
+#: Share of a notice's pairs of neighbouring words, or of as many as the paragraph has, that the paragraph must hold.
 CONFIRM = 0.5
-#: n-grams kept.
-FEATURES = 600
+#: n-grams kept, and slots of the table that tells which n-grams may be among them.
+FEATURES, SLOTS = 600, 1 << 15
 #: What :func:`calibrate` finds; a test holds them to it.
 HEAT, THRESHOLD = 0.707, 0.564
 
@@ -137,27 +138,38 @@ def _array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _pairs(words: Column) -> Column:
-    return F.array_distinct(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, F.coalesce(b, F.lit("")))))
-
-
 def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _slots(texts) -> Column:
+    """A table of hashes that tells which texts may be among these."""
+    marks = [False] * SLOTS
+    for t in texts:
+        marks[xxhash.xxh64_intdigest(t.encode(), 42) % SLOTS] = True
+    return F.from_json(F.lit(json.dumps(marks)), "array<boolean>")
+
+
+def _marked(slots: Column, text: Column) -> Column:
+    return text.isNotNull() & F.get(slots, F.xxhash64(text).bitwiseAND(F.lit(SLOTS - 1).cast("long")).cast("int"))
+
+
 def _classify(paragraph: Column) -> Column:
     """(family, probability, overlap, confirmed) of one paragraph."""
     weights, bias, threshold = model()
     table = F.from_json(F.lit(json.dumps(weights)), "map<string,array<double>>")
-    pairs = [[sorted({f"{a} {b}" for a, b in zip(w, [*w[1:], ""])}) for w in (_WORD.findall(t.lower()) for t in texts)] for texts in TEMPLATES.values()]
+    slots = _slots(weights)
+    pairs = [[sorted({f"{a} {b}" for a, b in zip(w, w[1:])}) for w in (_WORD.findall(t.lower()) for t in texts)] for texts in TEMPLATES.values()]
+    pair_slots = _slots({p for texts in pairs for t in texts for p in t})
     templates = F.from_json(F.lit(json.dumps(pairs)), "array<array<array<string>>>")
     zero = F.struct(F.array_repeat(F.lit(0.0), len(bias)).alias("z"), F.lit(0.0).alias("n"))
 
     def scored(w: Column) -> Column:
         two = F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
         three = F.zip_with(two, F.slice(w, 3, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
-        all_ = F.filter(F.array_distinct(F.concat(w, two, three)), lambda g: g.isNotNull())
-        hits = F.filter(F.transform(all_, lambda g: F.try_element_at(table, g)), lambda x: x.isNotNull())
+        # a map is searched from end to end, so few n-grams are looked up: those whose hash is that of a feature
+        few = F.filter(F.concat(w, two, three), lambda g: _marked(slots, g))
+        hits = F.filter(F.transform(F.array_distinct(few), lambda g: F.try_element_at(table, g)), lambda x: x.isNotNull())
         summed = F.aggregate(hits, zero, lambda acc, x: F.struct(F.zip_with(acc["z"], x, lambda a, b: a + b).alias("z"), (acc["n"] + 1).alias("n")))
         z = _let(summed, lambda s: F.zip_with(s["z"], _array(bias), lambda a, b: a / F.greatest(F.lit(1.0), F.sqrt(s["n"])) + b))
         return _let(z, lambda z: _let(F.transform(z, lambda v: F.exp(v - F.array_max(z))), lambda e: named(w, e)))
@@ -169,18 +181,19 @@ def _classify(paragraph: Column) -> Column:
 
     def result(w: Column, k: Column, top: Column) -> Column:
         known = (k > 0) & (top >= threshold)
-        own = _let(_pairs(w), lambda mine: F.array_max(F.transform(F.get(templates, k - 1), lambda t: F.size(F.array_intersect(mine, t)) / F.least(F.size(mine), F.size(t)))))
+        mine = F.array_distinct(F.filter(F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: _marked(pair_slots, g)))
+        own = _let(mine, lambda m: F.array_max(F.transform(F.get(templates, k - 1), lambda t: F.size(F.array_intersect(m, t)) / F.least(F.greatest(F.size(w) - 1, F.lit(1)), F.size(t)))))
         overlap = F.when(known, F.coalesce(own, F.lit(0.0))).otherwise(0.0)
         family = F.when(known, F.get(_array(CLASSES), k)).otherwise("unknown")
         return F.struct(family.alias("family"), F.round(top, 4).alias("probability"), F.round(overlap, 4).alias("overlap"), (known & (overlap >= CONFIRM)).alias("confirmed"))
 
-    words = F.filter(F.split(F.lower(paragraph), "[^a-z0-9]+"), lambda x: x != "")
+    words = F.filter(F.split(paragraph, "[^a-z0-9]+"), lambda x: x != "")
     return _let(words, scored)
 
 
 @lru_cache(maxsize=1)
-def gate() -> str:
-    """An expression that finds a word of each feature: of its words the one that is in most features, so that few suffice."""
+def gate() -> tuple[str, ...]:
+    """A word of each feature: of its words the one that is in most features, so that few suffice."""
     left, out = {g: [w for w in g.split() if _telling(w)] for g in model()[0]}, []
     while left:
         count: dict[str, int] = {}
@@ -190,7 +203,7 @@ def gate() -> str:
         best = max(sorted(count), key=count.get)
         out.append(best)
         left = {g: words for g, words in left.items() if best not in words}
-    return "(?i)(?<![a-z0-9])(?:" + "|".join(sorted(out)) + ")(?![a-z0-9])"
+    return tuple(sorted(out))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,19 +214,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     family (or unknown), probability, overlap with the nearest notice and whether that confirms the family. Null and
     empty texts have no paragraph, an empty table gives no rows; other columns are ignored, whatever their names.
     """
-    pattern = gate()
-    text = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"\r\n?", "\n")
+    words = F.from_json(F.lit(json.dumps(gate())), "array<string>")
+    holds = lambda t: F.arrays_overlap(F.split(t, "[^a-z0-9]+"), words)
+    text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    text = F.when(text.contains("\r"), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    parts = F.filter(F.split("text", r"\n[ \t]*(?=\n)"), lambda p: F.length(F.btrim(p, F.lit(" \t\n"))) > 0)
-    rows = rows.select("doc_id", parts.alias("parts"), F.col("text").rlike(pattern).alias("some"))
-    lines = lambda p: F.filter(F.split(p, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t"))) > 0)
+    parts = F.filter(F.split("text", r"\n[ \t]*(?=\n)"), lambda p: p.rlike(r"[^ \t\n]"))
+    rows = rows.select("doc_id", parts.alias("parts"), holds(F.col("text")).alias("some"))
+    lines = lambda p: F.filter(F.split(p, "\n"), lambda x: x.rlike(r"[^ \t]"))
 
     def candidates(p: Column, i: Column) -> Column:
         whole = F.struct(i.alias("paragraph"), F.lit(-1).alias("line"), F.replace(p, F.lit("\n"), F.lit(" ")).alias("text"))
         each = lambda ls: F.transform(ls, lambda x, k: F.struct(i.alias("paragraph"), k.alias("line"), x.alias("text")))
         return _let(lines(p), lambda ls: F.when(F.size(ls) > 1, F.concat(F.array(whole), each(ls))).otherwise(F.array(whole)))
 
-    hits = F.filter(F.flatten(F.transform(F.filter(F.transform("parts", lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda s: s["p"].rlike(pattern)), lambda s: candidates(s["p"], s["i"]))), lambda s: s["text"].rlike(pattern))
+    hits = F.filter(F.flatten(F.transform(F.filter(F.transform("parts", lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda s: holds(s["p"])), lambda s: candidates(s["p"], s["i"]))), lambda s: holds(s["text"]))
     kept = rows.select("doc_id", F.size("parts").cast("long").alias("n_paragraphs"), F.when(F.col("some"), hits).otherwise(F.array()).alias("hits"))
     found = F.transform("hits", lambda s: F.struct(s["paragraph"].alias("paragraph"), s["line"].alias("line"), _classify(s["text"]).alias("c")))
     return kept.select("doc_id", "n_paragraphs", found.alias("found"))
