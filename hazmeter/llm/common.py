@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazmeter.staging import drop_staged, shared_dir, stage  # noqa: F401  the operators take them from here
+from hazmeter.staging import drop_staged, scratch, shared_dir, stage  # noqa: F401  the operators take them from here
 
 def name_runs(df: DataFrame, route: str, keys: list[str], order: list[str], label: str, repeats_only: bool = False) -> DataFrame:
     """Give equal keys one integer name by sorting, without gathering any key in one task.

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, name_runs, stage
+from .common import documents, name_runs, scratch, stage
 
 #: Code points of a block.
 BLOCK = 4096
@@ -77,7 +77,8 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows are matched by (id, digest of the text); where a row is repeated with id and text, one copy stays.
     """
-    kept = stage(exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")), "kept")
+    with scratch(docs.sparkSession) as keep:
+        kept = keep(exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")), "kept")
     names, inner = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
     of = lambda c: F.col(inner[names.index(c)])
     rows = docs.toDF(*inner).withColumn("sha", F.sha2(F.coalesce(of(text_col).cast("string"), F.lit("")), 256))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 _own: list[str] = []
+#: Paths staged within each open :func:`scratch`, innermost last.
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,13 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and a lost executor costs no recomputation.
 
-    The table goes when the application ends, or earlier by :func:`drop_staged`.
+    The table goes when the application ends, or earlier by :func:`drop_staged` or with its :func:`scratch`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    if _scopes:
+        _scopes[-1].append(path)
     # Spark removes the files of shuffles that nobody refers to any more, but only once the driver's heap is collected
     spark._jvm.System.gc()
     # a written schema has every column nullable
@@ -49,3 +54,23 @@ def drop_staged(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         target = spark._jvm.org.apache.hadoop.fs.Path(folder)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Removes the tables staged inside at its end, but those staged by the function it yields."""
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        staged = stage(df, name)
+        path = _scopes[-1].pop()
+        if len(_scopes) > 1:
+            _scopes[-2].append(path)
+        return staged
+
+    _scopes.append([])
+    try:
+        yield keep
+    finally:
+        for path in _scopes.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
