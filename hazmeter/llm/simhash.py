@@ -40,7 +40,11 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(k))))
     h64 = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h64(s, 42) for s in shingles), dtype=np.uint64)
+    return majority(np.fromiter((h64(s, 42) for s in shingles), dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     votes = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 65_536):  # very long texts in pieces
         part = hashes[i : i + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -69,7 +73,13 @@ def gray_rank(f: np.ndarray) -> np.ndarray:
 
 
 def search(cells: np.ndarray, fps: np.ndarray, radius: int = RADIUS, budget: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (i, j), i before j in the given order of rows, within ``radius`` bits and in one cell.
+    """All pairs (i, j), i before j in the given order of rows, within ``radius`` bits and in one cell."""
+    i, j = zip(*_search(cells, fps, radius, budget))
+    return np.concatenate(i), np.concatenate(j)
+
+
+def _search(cells: np.ndarray, fps: np.ndarray, radius: int, budget: int = 4_000_000):
+    """The pairs of :func:`search`, some rows i at a time.
 
     Rows must be sorted by cell and Gray rank, distinct within a cell. ``budget`` bounds the leaves looked at once.
     """
@@ -93,7 +103,6 @@ def search(cells: np.ndarray, fps: np.ndarray, radius: int = RADIUS, budget: int
     sizes = top[5] - top[4]
     roots = np.repeat(np.arange(len(sizes)), sizes)  # of each row
     cost = np.cumsum(sizes[roots])
-    out_i, out_j = [], []
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + budget, "right")))
@@ -116,9 +125,18 @@ def search(cells: np.ndarray, fps: np.ndarray, radius: int = RADIUS, budget: int
                 acc = acc + np.bitwise_count((fps[q] ^ fps[child]) & free)
             keep = acc <= radius
             q, acc, node = q[keep], acc[keep], child[keep]
-        out_i.append(q)
-        out_j.append(node)
-    return np.concatenate(out_i), np.concatenate(out_j)
+        yield q, node
+
+
+def _nearest(cells: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of :func:`search` the one with the least differing bits for each j, once for each range of i."""
+    out = []
+    for i, j in _search(cells, fps, radius):
+        order = np.lexsort((np.bitwise_count(fps[i] ^ fps[j]), j))
+        order = order[np.r_[True, j[order][1:] != j[order][:-1]]] if len(order) else order
+        out.append((i[order], j[order]))
+    i, j = zip(*out)
+    return np.concatenate(i), np.concatenate(j)
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -138,8 +156,8 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             root = up
 
 
-def _link(batches, radius: int):
-    """Links of whole cells. Rows come sorted by cell; what may go on in the next batch waits."""
+def _link(batches, radius: int, nearest: bool = False):
+    """Links of whole cells, ``nearest``: pairs within the radius. Rows come sorted by cell; what may go on in the next batch waits."""
     held_c, held_f = [], []
     size = 0
 
@@ -149,9 +167,11 @@ def _link(batches, radius: int):
         c, f = c[order], f[order]
         same = np.r_[False, (c[1:] == c[:-1]) & (f[1:] == f[:-1])]  # two paths into one cell
         c, f = c[~same], f[~same]
-        i, j = search(c, f, radius)
+        i, j = (_nearest if nearest else search)(c, f, radius)
         if not len(i):
             return None
+        if nearest:
+            return pa.RecordBatch.from_arrays([pa.array(f[i].view(np.int64)), pa.array(f[j].view(np.int64))], names=["u", "v"])
         root = _roots(len(f), i, j)
         on = np.flatnonzero(root != np.arange(len(f)))
         return pa.RecordBatch.from_arrays([pa.array(f[on].view(np.int64)), pa.array(f[root[on]].view(np.int64))], names=["u", "v"])
@@ -198,9 +218,11 @@ def _children(rows: DataFrame, parts: int, depth: int) -> DataFrame:
     return rows.select(F.explode(F.array(*options)).alias("cell"), "fp")
 
 
-def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL, depths: int = 12) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL, depths: int = 12, nearest: bool = False) -> DataFrame:
     """(u, v): links between distinct fingerprints that connect all those within ``radius`` bits of each other.
 
+    ``nearest``: the links are pairs within the radius, to be verified, from each fingerprint in each of its cells to
+    the nearest one before it; some may be given twice.
     ``fps``: distinct ``fp`` (long). Cells over ``cell`` members are cut again by other bits, ``depths`` times at
     most; after three times 37 bits are shared. A cell that is still large is searched all the same.
     """
@@ -213,7 +235,7 @@ def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL, depths: int =
         else:
             kept = stage(rows, "members")
             out, rows = kept.join(heavy, "cell", "left_anti"), _children(kept.join(heavy, "cell"), parts, depth)
-        out = out.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda it: _link(it, radius), "u long, v long")
+        out = out.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda it: _link(it, radius, nearest), "u long, v long")
         found = out if found is None else found.unionByName(out)
         if last:
             break
