@@ -316,5 +316,6 @@ def joined(spans) -> Column:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = find(docs, fit(docs))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias("n_" + name) for k, name in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", "extra"))).alias("spans"))
+    # the kind must not be a second parameter of the inner function, which Spark fills with a span's place
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias("n_" + KINDS[kind])
+    return found.select("doc_id", *map(count, range(len(KINDS))), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", "extra"))).alias("spans"))

@@ -336,6 +336,24 @@ def test_private(spark, odd, empty):
     assert pii.base_spans("1" * 200_000 + "a" * 200_000 + "@") == []  # linear time
 
 
+def test_private_query(spark, empty, tmp_path):
+    """The query's counts and digest against the plain patterns: spans of one kind in any place and number of a document."""
+    email, ip, card, phone = "a.b@mail.example.org", "10.0.0.255", "4539 1488 0343 6467", "+1 (743) 555-3824"
+    rng = random.Random(14)
+    texts = [None, "", "no numbers", email, ip, card, phone, f"{email} {email} {email}", f"{phone}; {ip}, {email}", f"𝔘é {card}, {card} / {phone} 𝔘 {ip}", "10.0.0.256 4539 1488 0343 6468 +1 (7)", "; ".join([phone, card, ip, email] * 700)]
+    texts += ["; ".join(rng.choices([email, ip, card, phone, "𝔘 12"], k=rng.randint(1, 9))) for _ in range(60)]
+    rows = [*enumerate(texts), (3, ip), (3, ip), (None, phone), (None, None)]
+    table(spark, rows).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    empty.write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    want = []
+    for i, t in rows:
+        base = base_private(t or "")
+        want.append((i, *(sum(s[1] == k for s in base) for k in range(4)), hashlib.sha256(",".join(f"{('email', 'ip', 'card', 'phone')[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()))
+    got = registry.QUERIES["op4_pii"](spark, str(tmp_path / "odd")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256").collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(want)
+    assert registry.QUERIES["op4_pii"](spark, str(tmp_path / "none")).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
